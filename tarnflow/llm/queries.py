@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import table
 from tarnflow.llm.components import decided_links, link_groups
+from tarnflow.llm.garble import find_garbled, restore_texts
+from tarnflow.llm.leakage import find_leaks
+from tarnflow.llm.mixing import plan_mix
 from tarnflow.llm.splitting import cut_kinds, range_items, split_ranges, split_texts
 
 
@@ -31,7 +34,42 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("group_id").agg(F.count("*").alias("n_regions"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_text_pieces, p5_found, p5_group_sizes)}
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).filter("exact").select("doc_id", "item_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = plan_mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    return report.filter("short").select("source")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return plan_mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return plan_mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restore_texts(table(spark, d, "documents")).withColumn("swaps", F.array_join("swaps", "; "))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_pieces, p2_text_pieces, p5_found, p5_group_sizes, p6_found, p6_leaks,
+        p7_found, p7_mix, p7_shares, p8_found, p8_restored,
+    )
+}
 
 _RANGES = """
 WITH RECURSIVE one AS (
