@@ -82,6 +82,10 @@ def _rounds(pdf: pd.DataFrame, last: int, level: int) -> pd.DataFrame:
     return out.reindex(columns=names).astype({c: "Int64" for c in names if c != "elevation"})
 
 
+def _kernel(last: int, level: int):
+    return lambda pdf: _rounds(pdf, last, level)
+
+
 def trap_hierarchy(adjacency: DataFrame, points: DataFrame, *, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
     """All traps: trap, parent (null at the top), elevation, downstream_region, current_region_cell,
     downstream_region_cell, level.
@@ -99,7 +103,7 @@ def trap_hierarchy(adjacency: DataFrame, points: DataFrame, *, kernel_rows: int
     last, level = int(n_regions), 0
     while True:
         if graph.count() <= kernel_rows:
-            rest = scratch.put(graph.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p, a=last, b=level: _rounds(p, a, b), _KERNEL_SCHEMA))
+            rest = scratch.put(graph.groupBy(F.lit(0).alias("all")).applyInPandas(_kernel(last, level), _KERNEL_SCHEMA))
             parents.append(rest.filter("old is not null").select("old", F.col("trap").alias("new")))
             traps.append(rest.filter("old is null").drop("old"))
             break
