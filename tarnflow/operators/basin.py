@@ -408,8 +408,9 @@ class Basin:
             if c < INF:
                 heapq.heappush(self.heap, (max(c, now), t, self.stamp[t]))
 
-    def run(self, start: float, end: float):
-        """Events until ``end``: yields (time, changed traps) with the state already up to date."""
+    def run(self, start: float, end: float, before=None):
+        """Events until ``end``: yields (time, changed traps) with the state already up to date.
+        ``before(time)`` is called ahead of every event, with the state still as it was."""
         self.heap: list = []
         self.stamp = [0] * len(self.trap)
         self._queue(range(len(self.trap)), start)
@@ -424,6 +425,8 @@ class Basin:
                     flips.append(t)
             if not flips:
                 continue
+            if before is not None:
+                before(now)
             self.touched, self.changed, self.new_runoff, self.now = set(), set(), set(), now
             # amounts under the old rates, before any flag or flow changes
             for t in flips:
