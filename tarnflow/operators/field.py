@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.functions.runtime import Scratch
 from tarnflow.sources.grid import Domain, Raster
 
 DI = (-1, 1, 0, 0, -1, 1, 1, -1)
@@ -95,7 +96,8 @@ def spill_field(raster: Raster, *, diagonals: bool = True, buildings: DataFrame
     if domain is not None:
         cells = cells.filter(domain.grown(1, raster.nrows, raster.ncols).contains())
     out = _steepest(raster, mark_cells(cells, buildings, sinks), diagonals)
-    return out if domain is None else out.filter(domain.contains())
+    # written once: filters on the direction would otherwise be pushed down as copies of the whole stencil
+    return Scratch(cells.sparkSession, "field").put(out if domain is None else out.filter(domain.contains()))
 
 
 def update_spill_field(field: DataFrame, raster: Raster, domain: Domain, *, diagonals: bool = True, buildings: DataFrame | None = None, sinks: DataFrame | None = None, grow: int = 1) -> DataFrame:

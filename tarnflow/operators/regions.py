@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import Scratch, broadcast_if_small
-from tarnflow.operators.components import dense_numbers, minimum_labels
+from tarnflow.operators.components import dense_numbers, local_labels, minimum_labels
 from tarnflow.operators.field import BOTTOM, DI, DJ, flat_edges, is_exit, target_cell
 from tarnflow.sources.grid import Domain, Raster
 
@@ -22,31 +22,9 @@ from tarnflow.sources.grid import Domain, Raster
 TILE = 256
 
 
-def _local_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Least member of the component of each of n vertices."""
-    label = np.arange(n)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        while True:
-            jump = new[new]
-            if (jump == new).all():
-                break
-            new = jump
-        if (new == label).all():
-            break
-        label = new
-        keep = label[u] != label[v]
-        u, v = u[keep], v[keep]
-    return label
-
-
 def _label_tile(pdf: pd.DataFrame, flats: bool, diagonals: bool) -> pd.DataFrame:
     pdf = pdf.sort_values("cell_id", ignore_index=True)
     ids = pdf["cell_id"].to_numpy()
-    at = {}
     i, j, d = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["dir"].to_numpy()
     i0, j0 = i.min(), j.min()
     box = np.full((i.max() - i0 + 1, j.max() - j0 + 1), -1)
@@ -67,8 +45,7 @@ def _label_tile(pdf: pd.DataFrame, flats: bool, diagonals: bool) -> pd.DataFrame
             both = (other >= 0) & (d[np.maximum(other, 0)] == BOTTOM)
             us.append(b[ok][both])
             vs.append(other[both])
-    del at
-    label = _local_labels(len(ids), np.concatenate(us), np.concatenate(vs))
+    label = local_labels(len(ids), np.concatenate(us), np.concatenate(vs))
     return pd.DataFrame({"cell_id": ids, "label": ids[label]})
 
 

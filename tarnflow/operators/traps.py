@@ -144,8 +144,25 @@ def trap_hierarchy(adjacency: DataFrame, points: DataFrame, *, kernel_rows: int
     return scratch.put(every.join(up.withColumnsRenamed({"old": "trap", "new": "parent"}), "trap", "left"))
 
 
-def trap_regions(traps: DataFrame) -> DataFrame:
-    """(trap, region): the regions of every trap; a region belongs to itself and all traps above it."""
+def _climb(pdf: pd.DataFrame) -> pd.DataFrame:
+    up = dict(zip(pdf["trap"].tolist(), pdf["parent"].tolist(), strict=True))
+    region = pdf.loc[pdf["level"] == 0, "trap"].to_numpy()
+    at, parts = region.copy(), []
+    while len(at):
+        parts.append(pd.DataFrame({"trap": at, "region": region}))
+        nxt = np.array([up[t] for t in at.tolist()], dtype=float)
+        go = ~np.isnan(nxt)
+        at, region = nxt[go].astype(np.int64), region[go]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"trap": [], "region": []}, dtype="int64")
+
+
+def trap_regions(traps: DataFrame, *, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
+    """(trap, region): the regions of every trap; a region belongs to itself and all traps above it.
+
+    At most ``kernel_rows`` traps climb to their parents in one task, more of them by frontier joins.
+    """
+    if traps.count() <= kernel_rows:
+        return traps.select("trap", "parent", "level").groupBy(F.lit(0).alias("all")).applyInPandas(_climb, "trap long, region long")
     paths = resolve_hierarchy(traps, "trap", "parent", with_path=True)
     low = traps.filter("level = 0").select(F.col("trap").alias("node"))
     return paths.join(low, "node", "left_semi").select(F.explode("path").alias("trap"), F.col("node").alias("region"))
@@ -236,7 +253,7 @@ def analyze(raster: Raster, *, diagonals: bool = True, buildings: DataFrame | No
     """
     spark = raster.cells.sparkSession
     scratch = Scratch(spark, "analysis")
-    field = scratch.put(spill_field(raster, diagonals=diagonals, buildings=buildings, sinks=sinks))
+    field = spill_field(raster, diagonals=diagonals, buildings=buildings, sinks=sinks)
     regions = spill_regions(field, raster, diagonals=diagonals)
     adjacency = region_adjacency(regions, raster, diagonals=diagonals)
     points = scratch.put(spill_points(regions, adjacency))

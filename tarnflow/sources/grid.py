@@ -82,11 +82,23 @@ def load_grid(spark: SparkSession, path: str, delim: str = ",") -> Raster:
     return raster_from_cells(cells, shape[0], shape[2])
 
 
-def save_grid(raster: Raster, path: str, delim: str = ",", value: str = "z") -> None:
-    """Writes the raster as delimited text, lines in order of i (several part files, in order, for a large one)."""
+def load_grid_parts(spark: SparkSession, folder: str, delim: str = ",") -> Raster:
+    """Reads what ``save_grid(numbered=True)`` wrote: every line carries its number, so parts are read in
+    parallel and in any order."""
+    fields = spark.read.text(folder).select(F.split("value", "\\Q" + delim + "\\E").alias("f"))
+    rows = fields.select(F.col("f")[0].cast("long").alias("i"), F.posexplode(F.slice(F.col("f"), 2, F.size("f") - 1)).alias("j", "z"))
+    cells = rows.select("i", (F.col("j") + 1).cast("long").alias("j"), F.col("z").cast("double").alias("z"))
+    n, m = cells.agg(F.max("i"), F.max("j")).first()
+    return raster_from_cells(cells, n, m)
+
+
+def save_grid(raster: Raster, path: str, delim: str = ",", value: str = "z", numbered: bool = False) -> None:
+    """Writes the raster as delimited text, lines in order of i (several part files, in order of their
+    names, for a large one). ``numbered`` puts i in front of every line, for ``load_grid_parts``."""
     lines = raster.cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", F.col(value).cast("string").alias("s")))).alias("row"))
-    text = lines.select("i", F.array_join(F.transform("row", lambda r: F.coalesce(r["s"], F.lit("NaN"))), delim).alias("value"))
-    text.orderBy("i").select("value").write.mode("overwrite").text(path)
+    joined = F.array_join(F.transform("row", lambda r: F.coalesce(r["s"], F.lit("NaN"))), delim)
+    text = F.concat_ws(delim, F.col("i").cast("string"), joined) if numbered else joined
+    lines.select("i", text.alias("value")).orderBy("i").select("value").write.mode("overwrite").text(path)
 
 
 def test_data_dir(scale: str = "0.01") -> str:
