@@ -19,24 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import Scratch, broadcast_if_small
+from tarnflow.operators.components import KERNEL_EDGES, minimum_labels, symmetric
 
 #: Frontier rounds of the breadth-first search before what it has reached is contracted.
 LEVELS = 6
 
 
-def _symmetric(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _print(edges: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free fingerprint of an edge set."""
-    n, x = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return n, x or 0
-
-
 def _peel(edges: DataFrame, levels: int, scratch: Scratch) -> tuple[DataFrame, int, bool]:
     """Vertices reached from the hub (column v), the least of them, and whether that is all of them."""
-    both = _symmetric(edges)
+    both = symmetric(edges)
     degree = both.groupBy("u").agg(F.count("*").alias("d"))
     hub = degree.agg(F.max(F.struct("d", (-F.col("u")).alias("m"))).alias("b")).first()[0]
     spark = edges.sparkSession
@@ -57,27 +48,7 @@ def _peel(edges: DataFrame, levels: int, scratch: Scratch) -> tuple[DataFrame, i
     return out, out.agg(F.min("v")).first()[0], not n
 
 
-def _minimum_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): every vertex u that is not the least of its component, with that least vertex v."""
-    state = scratch.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = _print(state)
-    while last[0]:
-        both = _symmetric(state)
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.put(up)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        small = scratch.put(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(state, large)
-        now, state = _print(small), small
-        if now == last:
-            return state
-        last = now
-    return state
-
-
-def link_groups(pairs: DataFrame, left: str = "a", right: str = "b", *, levels: int = LEVELS) -> DataFrame:
+def link_groups(pairs: DataFrame, left: str = "a", right: str = "b", *, levels: int = LEVELS, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """One group identifier for every record linked directly or through others: (member, group_id).
 
     ``group_id`` is the least member of the group. Pairs with a null side or of a record with itself
@@ -100,7 +71,7 @@ def link_groups(pairs: DataFrame, left: str = "a", right: str = "b", *, levels:
         moved = edges.join(at.withColumnRenamed("v", "u").withColumnRenamed("to", "u2"), "u", "left").join(at.withColumnRenamed("to", "v2"), "v", "left")
         rest = moved.select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v")).filter("u <> v").distinct()
         giant = None
-    stars = _minimum_labels(rest, scratch)
+    stars = minimum_labels(rest, scratch, kernel_edges=kernel_edges)
     labels = stars.select(F.col("u").alias("member"), F.col("v").alias("group_id"))
     labels = labels.unionByName(labels.select(F.col("group_id").alias("member"), "group_id").distinct())
     if whole:
