@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 WORDS = re.compile(r"[^\W_]+")
 #: Soft hyphen, zero-width characters and the byte order mark.
-INVISIBLE = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Letters that are written as a command.
 LETTER_COMMANDS = {"ss": "ss", "ae": "ae", "AE": "ae", "oe": "oe", "OE": "oe", "aa": "a", "AA": "a", "o": "o", "O": "o", "l": "l", "L": "l", "i": "i", "j": "j"}
 
+_FOREIGN = re.compile("[^\x00-\x7f]+")
 _COMMENT = re.compile(r"(?m)^[ \t]*%+")
 _JOINED = re.compile(r"(?<=\w)%\n[ \t]*")
 _NO_GLYPH = re.compile(r"\\[-/]")
@@ -19,18 +21,23 @@ _LETTER = re.compile(r"\\(ss|ae|AE|oe|OE|aa|AA|o|O|l|L|i|j)(?![A-Za-z])(?:\{\}|[
 _ARGUMENT = re.compile(r"\\(?:begin|end|cite[a-z]*|eqref|ref|pageref|autoref|label|index|vspace|hspace|includegraphics|input|include|textcolor|color|fontsize|href|url|footnotemark)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}")
 _SPACE = re.compile(r"\\(?:[,;:!> \n]|\\)|~")
 _COMMAND = re.compile(r"\\[A-Za-z@]+\*?")
-_BRACE = re.compile(r"[{}]")
+
+
+@lru_cache(maxsize=100_000)
+def _bare(run: str) -> str:
+    """A run of other than ASCII characters in compatibility form, without accents and invisible characters."""
+    return "".join(c for c in unicodedata.normalize("NFKD", run) if c not in INVISIBLE and not unicodedata.combining(c))
 
 
 def plain(text: str) -> str:
     """The text without markup. Text in comments and unused definitions stays; names of
-    environments, references and files go; words that markup only divides are joined again."""
+    environments, references and files go; words that markup only divides are joined again, accents are dropped."""
     if not text.isascii():
-        text = text.translate(INVISIBLE)
-        if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
+        text = _FOREIGN.sub(lambda m: _bare(m[0]), text)
     if "%" in text:
-        text = _COMMENT.sub(" ", _JOINED.sub("", text))
+        if "%\n" in text:
+            text = _JOINED.sub("", text)
+        text = _COMMENT.sub(" ", text)
     if "\\" in text or "{" in text or "~" in text:
         text = _NO_GLYPH.sub("", text)
         text = _ARGUMENT.sub(" ", text)
@@ -38,15 +45,12 @@ def plain(text: str) -> str:
         text = _LETTER.sub(lambda m: LETTER_COMMANDS[m[1]], text)
         text = _SPACE.sub(" ", text)
         text = _COMMAND.sub("", text)
-        text = _BRACE.sub("", text)
+        text = text.replace("{", "").replace("}", "")
     return text
 
 
 def reader_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits; accents count as the bare letter. Null gives none."""
+    """Lower-case runs of letters and digits. Null gives none."""
     if not text:
         return []
-    out = plain(text).lower()
-    if not out.isascii():
-        out = "".join(c for c in unicodedata.normalize("NFKD", out) if not unicodedata.combining(c))
-    return WORDS.findall(out)
+    return WORDS.findall(plain(text).lower())
