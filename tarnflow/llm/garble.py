@@ -160,7 +160,8 @@ def _expect(batches, model: Bigrams):
                 if share > 1e-3:
                     for a, b in zip(z, z[1:], strict=False):
                         out[a + b] = out.get(a + b, 0.0) + share
-    yield pd.DataFrame({"pair": list(out), "x": list(out.values())})
+    if out:
+        yield pd.DataFrame({"pair": list(out), "x": list(out.values())})
 
 
 def _candidates(batches, model: Bigrams):
@@ -172,7 +173,8 @@ def _candidates(batches, model: Bigrams):
             scored = [(model.log(w[0] + r + w[-1]) - base, r, _is_utf8(k)) for r, k in readings(w[1:-1]).items()]
             kept = sorted((x for x in scored if x[0] > -8.0), reverse=True)
             rows.append((w, int(n), [r for _, r, _ in kept], [u for _, _, u in kept]))
-        yield pd.DataFrame(rows, columns=["w", "n", "cands", "utf8"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["w", "n", "cands", "utf8"])
 
 
 def learn_bigrams(docs: DataFrame, text_col: str = "text", iterations: int = ITERATIONS, scratch: Scratch | None = None) -> tuple[Bigrams, DataFrame]:
@@ -304,7 +306,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, restore: bool) -> DataF
                 base = model.log(w)
                 if any(model.log(w[0] + r + w[-1]) > base for r in cands):
                     rows.append(w)
-            yield pd.DataFrame({"w": rows})
+            if rows:
+                yield pd.DataFrame({"w": rows})
 
     likely = scratch.put(known.mapInPandas(positive, "w string"))
     # runs with a likelier reading; where they are too many to send, executors judge every run themselves
@@ -327,7 +330,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, restore: bool) -> DataF
                     rows.append((k, fixed, used, LOST in fixed))
                 else:
                     rows.append((k,))
-            yield pd.DataFrame(rows, columns=["k", "restored_text", "swaps", "has_losses"] if restore else ["k"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "restored_text", "swaps", "has_losses"] if restore else ["k"])
 
     schema = f"k {kind}, restored_text string, swaps array<string>, has_losses boolean" if restore else f"k {kind}"
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter("t is not null")
