@@ -90,7 +90,8 @@ def plain_double(c: Column) -> Column:
 def same_number(a: Column, b: Column, tolerance: float) -> Column:
     """True if both are null, both NaN, equal, or at most ``tolerance`` apart. Never null."""
     # one part in 10^12 above the tolerance takes up the rounding of the subtraction itself
-    near = F.abs(a - b) <= F.lit(tolerance) + F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs(a))
+    # (bounded, so that nothing finite is near an infinity)
+    near = F.abs(a - b) <= F.lit(tolerance) + F.lit(1e-12) * F.least(F.greatest(F.lit(1.0), F.abs(a)), F.lit(1e9))
     return (
         F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull())
         .when(F.isnan(a) | F.isnan(b), F.isnan(a) & F.isnan(b))
