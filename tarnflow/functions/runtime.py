@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once, wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="tarnflow-ship-")) / "tarnflow.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(target))
+
+
 class Scratch:
     """Tables of one operator run below the shared folder.
 
@@ -49,10 +68,12 @@ class Scratch:
         self._n = 0
         atexit.register(self._remove, self.root)
 
-    def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def put(self, df: DataFrame, partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
+        """``rebalance`` evens out the files of a round that joins many parts: tiny partitions are
+        merged and large ones split, at the cost of one exchange."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = (df.hint("rebalance") if rebalance else df).write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)

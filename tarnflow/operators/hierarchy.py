@@ -4,17 +4,22 @@ Every round is one frontier join: nodes whose pointer meets an already reached n
 and depth, the others double their stride. Round k thereby reaches the whole band of levels
 [2^k, 2^(k+1)) below the roots, so a tree of depth d needs log2(d) joins and not d. A round that
 reaches nothing proves that only loops and the branches into them are left (the levels of a tree
-have no gap); the nodes that the doubled map still hits are then the loops.
+have no gap); the nodes that the doubled map still hits are then the loops. The nodes left over at that
+point are counted; few enough of them are taken apart in one task, more of them by the same joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import Scratch
 
 TREE, CYCLE, INTO_CYCLE = "tree", "cycle", "into_cycle"
+#: Nodes that no root reaches (loops and what runs into them) up to which one task takes them apart.
+KERNEL_ROWS = 1_000_000
 
 
 def _reach(unreached: DataFrame, reached: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame, int]:
@@ -33,7 +38,8 @@ def _reach(unreached: DataFrame, reached: DataFrame, scratch: Scratch) -> tuple[
             met.select(
                 F.col("n").alias("node"), F.col("k_root").alias("root"), F.col("k_jump").alias("jump"),
                 (F.col("steps") + F.col("k_steps")).alias("steps"), F.concat("path", "k_path").alias("path"),
-            )
+            ),
+            rebalance=True,
         )
         still = step.filter(F.col("root").isNull()).select("node", "jump", "steps", "path")
         n = still.count()
@@ -65,7 +71,33 @@ def _loops(links: DataFrame, scratch: Scratch) -> DataFrame:
         hit = n
 
 
-def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", *, with_path: bool = False) -> DataFrame:
+def _take_apart(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
+    """Loops and the branches into them, of nodes (node, parent) that never meet a root."""
+    ids = np.sort(pdf["node"].to_numpy())
+    order = np.argsort(pdf["node"].to_numpy())
+    step = np.searchsorted(ids, pdf["parent"].to_numpy()[order])
+    jump, low, span = step, np.arange(len(ids)), 1
+    while True:
+        low, jump, span = np.minimum(low, low[jump]), jump[jump], span * 2
+        if span >= len(ids):
+            break
+    on = np.zeros(len(ids), bool)
+    on[jump] = True
+    to, steps = np.where(on, np.arange(len(ids)), step), np.where(on, 0, 1)
+    while not on[to].all():
+        steps, to = steps + steps[to], to[to]
+    paths = [[] for _ in ids]
+    if with_path:
+        for k in range(len(ids)):
+            c, path = k, [int(ids[k])]
+            while not on[c]:
+                c = step[c]
+                path.append(int(ids[c]))
+            paths[k] = path
+    return pd.DataFrame({"node": ids, "root": ids[low[to]], "steps": steps, "path": paths, "outcome": np.where(on, CYCLE, INTO_CYCLE)})
+
+
+def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", *, with_path: bool = False, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
     """Root, depth, outcome and (on request) the full path of every node.
 
     Result: node, root, steps, outcome and, with ``with_path``, path (from the node to its root, or
@@ -87,7 +119,10 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
     start = inner.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("steps"), path.alias("path"))
     done, left, n = _reach(start, roots, scratch)
     parts = [p.withColumn("outcome", F.lit(TREE)) for p in done]
-    if n:
+    if 0 < n <= kernel_rows:
+        bare = inner.join(left.select("node"), "node", "left_semi")
+        parts.append(scratch.put(bare.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: _take_apart(p, with_path), "node long, root long, steps long, path array<long>, outcome string")))
+    elif n:
         bare = inner.join(left.select("node"), "node", "left_semi")
         loops = _loops(bare, scratch)
         on = loops.select("node", F.col("low").alias("root"), F.lit(0).cast("long").alias("steps"), path.alias("path"))
