@@ -45,14 +45,12 @@ def p3_change_counts(spark: SparkSession, d: str) -> DataFrame:
 def _profiles(spark: SparkSession, d: str):
     cells, foot = table(spark, d, "cells"), table(spark, d, "footprint")
     a = key_profile(cells, "region", ["grid_id", "cell_id"], "z", extent=["i", "j"])
-    b = key_profile(foot, "trap", ["grid_id", "cell_id"], None, extent=["cell_id"], quantiles=())
+    b = key_profile(foot, "trap", ["grid_id", "trap", "cell_id"], None, extent=["cell_id"], quantiles=())
     return a, b
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Footprint cells are distinct by (grid_id, trap, cell_id): the total is the sum over traps."""
-    (cells, n_cells), (foot, _) = _profiles(spark, d)
-    n_foot = foot.agg(F.sum("n_items")).first()[0] or 0
+    (cells, n_cells), (foot, n_foot) = _profiles(spark, d)
     hot = heavy_keys(cells.filter("key <> 0"), n_cells, (1, 20)).select(F.lit("cells").alias("src_table"), F.col("key").alias("key_id"))
     return hot.unionByName(heavy_keys(foot, n_foot, (1, 20)).select(F.lit("footprint").alias("src_table"), F.col("key").alias("key_id")))
 
