@@ -19,6 +19,17 @@ def raster(spark, rows):
     return grid.raster_from_cells(spark.createDataFrame(cells, "i long, j long, z double"), len(rows), len(rows[0]))
 
 
+_analyzed = {}
+
+
+def analyzed(spark, rows):
+    """The analysis of a raster, done once for all tests that only read it."""
+    key = (spark.sparkContext.applicationId, str(rows))
+    if key not in _analyzed:
+        _analyzed[key] = traps.analyze(raster(spark, rows))
+    return _analyzed[key]
+
+
 def matrix(df, r, c):
     m = {(x["i"], x["j"]): x[c] for x in df.collect()}
     return [[m[i, j] for j in range(1, r.ncols + 1)] for i in range(1, r.nrows + 1)]
@@ -53,10 +64,10 @@ def brute_dirs(z, diagonals=True):
 
 
 def test_bowl(spark):
-    r = raster(spark, BOWL)
-    assert matrix(fld.spill_field(r), r, "dir") == [[5, 1, 1, 1, -1], [3, 5, 1, 6, 2], [3, 3, -1, 2, 2], [3, 7, 0, 4, 2], [-1, 0, 0, 0, 4]]
+    ts = analyzed(spark, BOWL)
+    r = ts.raster
+    assert matrix(ts.field, r, "dir") == [[5, 1, 1, 1, -1], [3, 5, 1, 6, 2], [3, 3, -1, 2, 2], [3, 7, 0, 4, 2], [-1, 0, 0, 0, 4]]
     assert matrix(fld.spill_field(r, diagonals=False), r, "dir") == [[-1, 1, 1, 1, -1], [3, -1, 1, -1, 2], [3, 3, -1, 2, 2], [3, -1, 0, -1, 2], [-1, 0, 0, 0, -1]]
-    ts = traps.analyze(r)
     p = ts.spillpoints.first()
     assert (p["downstream_region"], p["current_region_cell"], p["downstream_region_cell"], p["elevation"]) == (-1, 4, 5, 10.0)
     assert ts.volumes.first()["volume"] == 49.0 and ts.footprints.count() == 23
@@ -64,7 +75,7 @@ def test_bowl(spark):
 
 
 def test_two_pits(spark):
-    ts = traps.analyze(raster(spark, TWO))
+    ts = analyzed(spark, TWO)
     t = {x["trap"]: x for x in ts.traps.join(ts.volumes, "trap").collect()}
     got = {k: (x["elevation"], x["downstream_region"], x["current_region_cell"], x["downstream_region_cell"], x["parent"], x["volume"], x["subvolume"]) for k, x in t.items()}
     assert got == {1: (6.0, 2, 17, 22, 3, 15.0, 0.0), 2: (6.0, 1, 22, 17, 3, 19.0, 0.0), 3: (8.0, 0, 33, 33, None, 64.0, 34.0)}
@@ -147,7 +158,7 @@ def test_hierarchy_invariants_and_kernel(spark, seed):
 
 @pytest.mark.parametrize("full", ["none", "low", "all"])
 def test_mass_balance(spark, full):
-    ts = traps.analyze(raster(spark, some(10, 11, 4, 30)))
+    ts = analyzed(spark, some(10, 11, 4, 30))
     chosen = {"none": ts.traps.limit(0), "low": ts.traps.filter("level = 0"), "all": ts.traps}[full]
     for infil in (0.0, 0.3):
         _, _, totals = flow.watercourses(ts, chosen.select("trap"), infiltration=infil)
@@ -155,7 +166,7 @@ def test_mass_balance(spark, full):
 
 
 def test_watercourses_of_two_pits(spark):
-    ts = traps.analyze(raster(spark, TWO))
+    ts = analyzed(spark, TWO)
     accum = lambda full: {x["region"]: x["region_accum"] for x in flow.watercourses(ts, full)[1].collect()}
     assert accum([]) == {1: 17.0, 2: 16.0}
     assert accum([1]) == {1: 0.0, 2: 33.0}
@@ -171,7 +182,7 @@ def test_accumulation_equals_kernel(spark):
 
 
 def test_upstream(spark):
-    ts = traps.analyze(raster(spark, TWO))
+    ts = analyzed(spark, TWO)
     assert {x["region"] for x in flow.all_upstream_regions(ts, 1).collect()} == {1, 2}
     assert flow.upstream_area(ts, 13).count() == 17  # inside the first pond
     assert flow.upstream_area(ts, 13, local_only=False).count() == 33
