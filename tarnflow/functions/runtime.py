@@ -8,6 +8,7 @@ the folder), is written once (``checkpoint()`` computes its input twice) and kee
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -47,11 +48,16 @@ def ship_package(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="tarnflow-ship-")) / "tarnflow.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path(root.name) / f.relative_to(root))
-    sc.addPyFile(str(target))
+    # through the file system of the shared folder, which need not be a local one
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}/{root.name}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
 
 
 class Scratch:

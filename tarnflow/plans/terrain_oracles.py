@@ -82,7 +82,7 @@ rag AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY sr
 _TRAPS = (
     _SPILL
     + """,
-ord AS (SELECT src AS a, dst AS b, z_pass, row_number() OVER (ORDER BY z_pass, phase, ord, pos, src) AS k FROM rag WHERE dst <= 0 OR src < dst),
+ord AS (SELECT src AS a, dst AS b, z_pass, cell, ncell, row_number() OVER (ORDER BY z_pass, phase, ord, pos, src) AS k FROM rag WHERE dst <= 0 OR src < dst),
 regs AS (SELECT DISTINCT region FROM rg WHERE region > 0),
 st(k, region, comp, drained) AS (
   SELECT CAST(0 AS BIGINT), region, region, false FROM regs
@@ -122,7 +122,6 @@ _EVENTS = "WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> (SEL
 _MASK = """, mk AS (SELECT cell_id, i, j, z FROM dem WHERE z >= 160000),
 ml AS (SELECT a.cell_id AS u, b.cell_id AS v FROM mk a CROSS JOIN dim JOIN mk b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1) WHERE a.i < n AND a.j < n),
 ms AS (SELECT u, v FROM ml UNION SELECT v, u FROM ml),
-lab AS (SELECT u, v FROM ms),
 mr(u, v) AS (SELECT cell_id, cell_id FROM mk UNION SELECT r.u, ms.v FROM mr r JOIN ms ON ms.u = r.v),
 cl AS (SELECT u AS cell_id, min(v) AS cluster FROM mr GROUP BY u)"""
 _TILE = "list_filter(range(0, {n}), lambda k: {c} >= 1 + (dim.n * k) // {n})[-1]"
@@ -188,8 +187,27 @@ cs AS (SELECT trap, z, CAST(sum(n) AS DOUBLE) AS n FROM cz GROUP BY ALL)""",
     + """, tp AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 7 DAYS)) AS tp FROM e),
 c AS (SELECT tp, user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM tp JOIN e ON e.ts <= tp.tp GROUP BY ALL)
 SELECT strftime(tp, '%Y-%m-%d %H:%M:%S') AS tp, user_id, event_id FROM c""",
-    "mask_clusters": None,
-    "flatten_min": None,
+    "complete_spillgraph": _sql(
+        _ALL
+        + """, even AS (SELECT t.k, t.comp, t.min_region, t.n_regions = 1 AND t.min_region % 2 = 0 AS is_full FROM tr t),
+ready AS (SELECT p.pk, p.pcomp, bool_and(e.is_full) AS ok FROM par p JOIN even e USING (k, comp) GROUP BY ALL),
+low AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY z_pass, phase, ord, pos) AS rn FROM rag)""",
+        "SELECT e.min_region AS trap, CASE WHEN r.ok THEN q.min_region WHEN s.dst > 0 THEN s.dst ELSE -1 END AS target_region, "
+        "CASE WHEN r.ok THEN q.n_regions WHEN s.dst > 0 THEN 1 ELSE 0 END AS target_regions FROM even e JOIN low s ON s.src = e.min_region AND s.rn = 1 "
+        "LEFT JOIN par p USING (k, comp) LEFT JOIN ready r ON r.pk = p.pk AND r.pcomp = p.pcomp LEFT JOIN tr q ON q.k = p.pk AND q.comp = p.pcomp WHERE e.is_full",
+    ),
+    "region_selection": _sql(
+        _ALL
+        + """, top AS (SELECT t.k, t.comp, t.elevation FROM tr t ANTI JOIN par USING (k, comp)),
+tmem AS (SELECT m.region, t.elevation, t.k, t.comp FROM top t JOIN mem m USING (k, comp)),
+start AS (SELECT t.k, t.comp, CASE WHEN EXISTS (SELECT 1 FROM tmem x WHERE x.k = t.k AND x.comp = t.comp AND x.region = o.a) THEN o.ncell ELSE o.cell END AS cell_id
+          FROM top t JOIN ord o ON o.k = t.k + 1),
+river AS (SELECT DISTINCT w.cur AS cell_id FROM start s JOIN walk w USING (cell_id))""",
+        "SELECT c.cell_id, CAST(CASE WHEN c.region > 0 AND c.z <= t.elevation THEN 2 WHEN r.cell_id IS NOT NULL THEN 3 WHEN t.region IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS color "
+        "FROM rg c LEFT JOIN tmem t USING (region) LEFT JOIN river r ON r.cell_id = c.cell_id",
+    ),
+    # with every pond full and nothing seeping away, all rain leaves the domain
+    "overflow_full_traps": _sql("", "SELECT CAST(count(*) AS DOUBLE) AS precipitation, 0.0::DOUBLE AS region_accum, CAST(count(*) AS DOUBLE) AS offregion_runoff, 0.0::DOUBLE AS used_infiltration FROM dem"),
+    "mask_clusters": _sql(_MASK, "SELECT cell_id, cluster FROM cl"),
+    "flatten_min": _sql(_MASK, "SELECT d.cell_id, coalesce(l.z, d.z) AS z FROM dem d LEFT JOIN cl USING (cell_id) LEFT JOIN (SELECT cluster, min(z) AS z FROM cl JOIN mk USING (cell_id) GROUP BY 1) l USING (cluster)"),
 }
-ORACLES["mask_clusters"] = _sql(_MASK, "SELECT cell_id, cluster FROM cl")
-ORACLES["flatten_min"] = _sql(_MASK, "SELECT d.cell_id, coalesce(l.z, d.z) AS z FROM dem d LEFT JOIN cl USING (cell_id) LEFT JOIN (SELECT cluster, min(z) AS z FROM cl JOIN mk USING (cell_id) GROUP BY 1) l USING (cluster)")

@@ -276,7 +276,10 @@ def saturated_spillgraph(spark, d):
 @query
 def complete_spillgraph(spark, d):
     ts = _structure(spark, d)
-    return dyn.complete_spill_graph(ts, ts.traps.filter("level = 0 and trap % 2 = 0").select("trap"))
+    graph = dyn.complete_spill_graph(ts, ts.traps.filter("level = 0 and trap % 2 = 0").select("trap"))
+    k = _keys(ts).withColumnRenamed("trap", "target")
+    one, none = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    return graph.join(k, "target", "left").select("trap", F.coalesce("min_region", one).alias("target_region"), F.coalesce("n_regions", none).alias("target_regions"))
 
 
 @query
