@@ -15,6 +15,8 @@ from tarnflow.operators.components import minimum_labels
 from tarnflow.operators.field import flow_edges, target_cell
 from tarnflow.operators.traps import TrapStructure
 
+#: Basins of fewer cells share a task with others, up to about so many cells together.
+SMALL_BASIN, TASK_CELLS = 50_000, 200_000
 _CELLS = ["basin", "cell_id", "z", "region", "dir", "target"]
 _TRAPS = ["basin", "trap", "parent", "elevation", "downstream_region", "current_region_cell", "downstream_region_cell", "level", "volume", "subvolume"]
 
@@ -58,9 +60,19 @@ def basins(ts: TrapStructure) -> DataFrame:
 
 
 def basin_frames(ts: TrapStructure, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, traps) of all basins for the array kernels; ``extra`` adds columns by cell_id."""
-    scratch = Scratch(ts.traps.sparkSession, "basins")
-    parts = scratch.put(basins(ts))
+    """(cells, traps) of all basins for the array kernels; ``extra`` adds columns by cell_id.
+
+    The key ``basin`` names a task: a large basin of its own, or many small ones that do not touch.
+    """
+    spark = ts.traps.sparkSession
+    scratch = Scratch(spark, "basins")
+    sized = ts.regions.filter("region <> 0").groupBy("region").agg(F.count("*").alias("n")).join(basins(ts), "region")
+    size = scratch.put(sized.select("region", F.col("basin").alias("part"), "n"))
+    total = size.agg(F.sum("n")).first()[0] or 0
+    packs = max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_CELLS))
+    whole = size.groupBy("part").agg(F.sum("n").alias("cells"))
+    name = F.when(F.col("cells") < SMALL_BASIN, F.concat(F.lit("pack "), F.pmod(F.xxhash64("part"), F.lit(packs)))).otherwise(F.concat(F.lit("basin "), F.col("part")))
+    parts = scratch.put(size.join(whole.select("part", name.alias("basin")), "part").select("region", "basin"))
     cells = ts.regions.filter("region <> 0").join(parts, "region")
     cells = cells.withColumn("target", target_cell(ts.raster.nrows, ts.raster.ncols)).select(*_CELLS)
     if extra is not None:
