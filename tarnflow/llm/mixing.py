@@ -93,7 +93,7 @@ def clean_source(c):
 
 
 def plan_mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = DEFAULT_VOCABULARY, block_tokens: int = 4096, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(documents with how often each is used, report per source of ``targets``).
+    """(documents with how often each is used, report per source of ``targets``, a table of few rows).
 
     targets: source, target_share, max_repeats (a null share or cap counts as 0; of repeated rows of
     a source the greatest values hold). The mix aims at as many tokens as ``docs`` holds in all,
