@@ -6,12 +6,18 @@ its own whose key is unknown, and may be enciphered in places only. The keys con
 that pairs of code pages induce, UTF-8 once or twice among them: a free substitution could not be
 learned from a document with five damaged words.
 
-Expectation-maximization runs over the distinct runs of non-ASCII characters of the whole corpus,
-each with the character before and after it. E-step: the posterior of every key, the plain reading
-among them, from the bigrams of the language. M-step: the bigrams are counted again from the
-letters the runs are now taken to mean, which clears the damaged ones out of the language model,
-and so are the weights of the byte-to-letter maps. A document is then judged by its own
-runs under the learned bigrams, and restored by ``translate`` with the map of its key.
+Expectation-maximization has two stages. The first runs over documents and finds those that were
+read with one wrong page as a whole. E-step: the evidence of all distinct runs of a document for
+every pair of pages, with the weights that its source gives the keys; a document takes the best key
+whose odds suffice. M-step: bigrams are counted again from what the documents are now taken to mean,
+and so are the weights of the keys per source. Before the first round sources of many rows count no
+more than an average one, and odd runs (a symbol or capital inside a word) little, so that one large
+damaged source does not become the language. The second stage runs over the distinct runs of
+non-ASCII characters of the corpus so corrected, each with the character before and after it:
+posterior of every reading with constant prior odds, bigrams counted again. A document is then
+judged by its own runs under the learned bigrams and the key weights of its source, and restored by
+``translate`` with the map of its key. A corpus that is damaged by one page throughout has no clean
+source to learn from and can't be told from a language.
 
 The bigram table is bounded by the square of the alphabet, not by the corpus.
 """
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -45,6 +52,11 @@ PRIOR = {True: -3.0, False: -6.0}
 #: Evidence (natural log of a likelihood ratio) that makes a document damaged: of one run and of all
 #: its distinct runs under UTF-8 keys, of one run and of a whole line under the others.
 UTF8_RUN, UTF8_ALL, PAGE_RUN, PAGE_LINE = 3.0, 5.0, 5.0, 10.0
+#: Log-odds, prior included, that make a document or line damaged by a swap of pages.
+PAGE_ODDS = PAGE_LINE + PRIOR[False]
+#: Rounds over documents; documents that the prior of a source's key weights counts as; weight of odd
+#: runs in the first bigrams; runs whose evidence a worker keeps.
+ROUNDS, PSEUDO_DOCS, ODD_WEIGHT, KEPT_RUNS = 3, 10.0, 0.1, 50_000
 #: Charge for a run in a line that the key could not have produced.
 IMPOSSIBLE = 4.0
 
@@ -77,6 +89,25 @@ def _swaps() -> dict[tuple[str, str], dict[int, str]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[dict[str, int], list[tuple[str, str]], np.ndarray, np.ndarray]:
+    """(index of each character of the pages, keys, key x character -> character it means, key x
+    character: the page read has no such character). The last index is any other character."""
+    pages, swaps = _pages(), _swaps()
+    chars = sorted({c for cs, _ in pages.values() for c in cs} | LAYOUT)
+    at = {c: k for k, c in enumerate(chars)}
+    keys = list(swaps)
+    means = np.tile(np.arange(len(chars) + 1, dtype=np.int32), (len(keys), 1))
+    lacks = np.zeros(means.shape, dtype=bool)
+    lacks[:, -1] = True
+    for n, key in enumerate(keys):
+        for o, c in swaps[key].items():
+            means[n, at[chr(o)]] = at[c]
+        for c in chars:
+            lacks[n, at[c]] = ord(c) > 127 and c not in LAYOUT and c not in pages[key[1]][1]
+    return at, keys, means, lacks
+
+
 def _from_utf8(run: str, read: str) -> str | None:
     back = _pages()[read][1]
     try:
@@ -122,6 +153,46 @@ class Bigrams:
         return out
 
 
+    def matrix(self) -> np.ndarray:
+        """log P(b | a) by the indices of _tables()."""
+        at = _tables()[0]
+        n = len(at)
+        chars, pairs = np.zeros(n + 1), np.zeros((n + 1, n + 1))
+        for c, x in self.chars.items():
+            chars[at.get(c, n)] += x
+        for p, x in self.pairs.items():
+            pairs[at.get(p[0], n), at.get(p[1], n)] += x
+        return np.log((np.maximum(pairs, 0) + ALPHA * (np.maximum(chars, 0)[None, :] + 0.01) / self.total) / (np.maximum(chars, 0)[:, None] + ALPHA)).astype(np.float32)
+
+
+def _evidence(runs: list[str], logs: np.ndarray) -> np.ndarray:
+    """Run (with context) x key: evidence for the swap of pages. Layout has none."""
+    at, keys, means, lacks = _tables()
+    out = np.zeros((len(runs), len(keys)), dtype=np.float32)
+    for lo in range(0, len(runs), 2000):
+        part = runs[lo : lo + 2000]
+        size = np.fromiter(map(len, part), dtype=np.int64)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        flat = np.fromiter((at.get(c, len(at)) for w in part for c in w), dtype=np.int64, count=int(size.sum()))
+        first = np.ones(len(flat), dtype=bool)
+        first[start + size - 1] = False
+        p = np.flatnonzero(first)
+        a, b = flat[p], flat[p + 1]
+        got = logs[means[:, a], means[:, b]] - logs[a, b]
+        e = np.add.reduceat(got, start - np.arange(len(part)), axis=1)
+        e[np.logical_or.reduceat(lacks[:, flat], start, axis=1)] = -IMPOSSIBLE
+        out[lo : lo + 2000] = e.T
+        for k, w in enumerate(part):
+            if set(w[1:-1]) <= LAYOUT:
+                out[lo + k] = 0
+    return out
+
+
+def _odd(w: str) -> bool:
+    """A symbol or capital inside a word of small letters: rare in any language, usual in garble."""
+    return w[0].islower() and w[-1].isalpha() and (w[1].isupper() or unicodedata.category(w[1])[0] in "SCN")
+
+
 def _contexts(text: str):
     n = len(text)
     for m in RUN.finditer(text):
@@ -130,15 +201,132 @@ def _contexts(text: str):
 
 
 def _count(batches):
-    """Partial counts of characters (kind c) and of runs with context (kind w)."""
+    """Partial counts of characters."""
     for pdf in batches:
         text = "\n".join(t for t in pdf["t"] if t)
         if not text:
             continue
         codes, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
-        rows = [("c", chr(c), int(k)) for c, k in zip(codes, n, strict=True)]
-        rows += [("w", w, k) for w, k in Counter(_contexts(text)).items()]
-        yield pd.DataFrame(rows, columns=["kind", "key", "n"])
+        yield pd.DataFrame({"key": [chr(c) for c in codes], "n": n.astype("int64")})
+
+
+def _document_runs(batches):
+    """Runs with context of each document that has any, with their counts."""
+    for pdf in batches:
+        rows = []
+        for s, t in zip(pdf["s"], pdf["t"], strict=True):
+            if t and not t.isascii():
+                c = Counter(_contexts(t))
+                rows.append((s, list(c), list(c.values())))
+        if rows:
+            yield pd.DataFrame(rows, columns=["s", "ws", "ns"])
+
+
+def _seed(batches, weights: dict[str, float]):
+    """Bigrams (two characters) and characters (one) of the runs, odd ones and large sources lowered."""
+    for pdf in batches:
+        runs: dict[str, float] = {}
+        for s, ws, ns in zip(pdf["s"], pdf["ws"], pdf["ns"], strict=True):
+            v = weights.get(s, 1.0)
+            for w, n in zip(ws, ns, strict=True):
+                runs[w] = runs.get(w, 0.0) + n * v
+        out = _parts({w: x * (ODD_WEIGHT if _odd(w) else 1.0) for w, x in runs.items()})
+        if out:
+            yield pd.DataFrame({"key": list(out), "x": [float(v) for v in out.values()]})
+
+
+def _parts(runs: dict[str, float]) -> dict[str, float]:
+    """Weight of the bigrams (two characters) and inner characters (one) of weighted runs."""
+    out: dict[str, float] = {}
+    for w, x in runs.items():
+        for k in range(len(w) - 1):
+            p = w[k : k + 2]
+            out[p] = out.get(p, 0.0) + x
+        for c in w[1:-1]:
+            out[c] = out.get(c, 0.0) + x
+    return out
+
+
+def _prior(source: str, priors: dict[str, np.ndarray]) -> np.ndarray | float:
+    return priors.get(source, PRIOR[False])
+
+
+def _assigned(pdf, logs: np.ndarray, priors: dict[str, np.ndarray]):
+    """Of each document: source, runs, counts and the index of its key, None if it is clean."""
+    place: dict[str, int] = {}
+    for ws in pdf["ws"]:
+        for w in ws:
+            place.setdefault(w, len(place))
+    e = _evidence(list(place), logs)
+    for s, ws, ns in zip(pdf["s"], pdf["ws"], pdf["ns"], strict=True):
+        odds = e[[place[w] for w in ws]].sum(axis=0) + _prior(s, priors)
+        k = int(np.argmax(odds))
+        yield s, ws, ns, k if odds[k] >= PAGE_ODDS else None
+
+
+def _meant(w: str, k: int | None) -> str:
+    if k is None or set(w[1:-1]) <= LAYOUT:
+        return w
+    return w.translate(_swaps()[_tables()[1][k]])
+
+
+def _maximize(batches, logs: np.ndarray, priors: dict[str, np.ndarray], weights: dict[str, float]):
+    """M-step over documents: bigrams and characters of what they mean (source null), and documents
+    per source and key (index)."""
+    for pdf in batches:
+        runs: dict[str, float] = {}
+        taken: Counter = Counter()
+        for s, ws, ns, k in _assigned(pdf, logs, priors):
+            v = weights.get(s, 1.0)
+            if k is not None:
+                taken[s, str(k)] += 1
+                ws = [_meant(w, k) for w in ws]
+            for w, n in zip(ws, ns, strict=True):
+                runs[w] = runs.get(w, 0.0) + n * v
+        rows = [(None, k, x) for k, x in _parts(runs).items()] + [(s, k, float(n)) for (s, k), n in taken.items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=["s", "key", "x"])
+
+
+def _corrected(batches, logs: np.ndarray, priors: dict[str, np.ndarray]):
+    """Runs as the documents are taken to mean them (n) and as they stand (n = 0)."""
+    for pdf in batches:
+        out: Counter = Counter()
+        for _, ws, ns, k in _assigned(pdf, logs, priors):
+            for w, n in zip(ws, ns, strict=True):
+                out[_meant(w, k)] += int(n)
+                out[w] += 0
+        if out:
+            yield pd.DataFrame({"key": list(out), "n": list(out.values())})
+
+
+def _model(rows: dict[str, float], chars: dict[str, float]) -> Bigrams:
+    """Bigrams with the counts of ASCII characters from the whole texts, of others from the runs."""
+    low = {c: x for c, x in chars.items() if ord(c) < 128}
+    return Bigrams({k: x for k, x in rows.items() if len(k) == 2}, low | {k: x for k, x in rows.items() if len(k) == 1})
+
+
+def _correct_pages(texts: DataFrame, chars: dict[str, float], scratch: Scratch) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """First stage, over texts (s, t): (runs of the corpus with counts once whole documents are read
+    right, log-odds of the keys by source). Runs that only stand in damaged documents have count 0."""
+    docs = scratch.put(texts.mapInPandas(_document_runs, "s string, ws array<string>, ns array<long>"))
+    size = {r["s"]: (int(r["d"]), float(r["n"])) for r in docs.groupBy("s").agg(F.count("*").alias("d"), F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")).collect()}
+    mean = sum(n for _, n in size.values()) / max(1, len(size))
+    weights = {s: mean / n for s, (_, n) in size.items() if n > mean}
+    step = docs.mapInPandas(lambda b: _seed(b, weights), "key string, x double").groupBy("key").agg(F.sum("x").alias("x"))
+    logs = _model({r["key"]: r["x"] for r in step.collect()}, chars).matrix()
+    priors: dict[str, np.ndarray] = {}
+    for _ in range(ROUNDS):
+        step = docs.mapInPandas(lambda b, m=logs, p=priors: _maximize(b, m, p, weights), "s string, key string, x double").groupBy("s", "key").agg(F.sum("x").alias("x")).collect()
+        logs = _model({r["key"]: r["x"] for r in step if r["s"] is None}, chars).matrix()
+        found: dict[str, np.ndarray] = {}
+        for r in step:
+            if r["s"] is not None:
+                found.setdefault(r["s"], np.zeros(len(_tables()[1])))[int(r["key"])] = r["x"]
+        # a key is never likelier than the plain reading before its evidence is seen
+        priors = {s: np.minimum(0.0, np.log((n + PSEUDO_DOCS * math.exp(PRIOR[False])) / (size[s][0] - n.sum() + PSEUDO_DOCS))) for s, n in found.items()}
+    runs = docs.mapInPandas(lambda b: _corrected(b, logs, priors), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return scratch.put(runs), priors
 
 
 def _is_utf8(keys: list[tuple[str, str]]) -> bool:
@@ -177,29 +365,52 @@ def _candidates(batches, model: Bigrams):
             yield pd.DataFrame(rows, columns=["w", "n", "cands", "utf8"])
 
 
-def learn_bigrams(docs: DataFrame, text_col: str = "text", iterations: int = ITERATIONS, scratch: Scratch | None = None) -> tuple[Bigrams, DataFrame]:
-    """(bigram model without the damaged runs, the runs of the corpus with their readings)."""
+def learn_bigrams(docs: DataFrame, text_col: str = "text", iterations: int = ITERATIONS, scratch: Scratch | None = None, source_col: str = "source") -> tuple[Bigrams, DataFrame, dict[str, np.ndarray]]:
+    """(bigram model without the damaged runs, the runs of the corpus with their readings, log-odds of
+    the page keys by source)."""
     scratch = scratch or Scratch(docs.sparkSession, "garble")
-    rows = docs.select(F.col(text_col).alias("t")).filter("t is not null")
-    counts = scratch.put(rows.mapInPandas(_count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    chars = {r["key"]: float(r["n"]) for r in counts.filter("kind = 'c'").collect()}
-    runs = counts.filter("kind = 'w'").select("key", "n")
-    # bigrams of the plain reading: adjacent characters of every run, summed without Python
+    rows = docs.select(_source(docs, source_col).alias("s"), F.col(text_col).alias("t")).filter("t is not null")
+    counts = rows.select("t").mapInPandas(_count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    chars = {r["key"]: float(r["n"]) for r in counts.collect()}
+    runs, priors = _correct_pages(rows, chars, scratch)
+    # bigrams and characters of the corrected runs, summed without Python
+    kept = runs.filter("n > 0")
     pos = F.explode(F.sequence(F.lit(1), F.length("key") - 1))
-    plain = runs.select("key", "n", pos.alias("p")).groupBy(F.substring(F.col("key"), F.col("p"), F.lit(2)).alias("pair")).agg(F.sum("n").alias("x"))
-    model = Bigrams({r["pair"]: float(r["x"]) for r in plain.collect()}, chars)
+    step = kept.select("key", "n", pos.alias("p")).select(F.substring(F.col("key"), F.col("p"), F.lit(2)).alias("pair"), "n")
+    pairs = step.groupBy("pair").agg(F.sum("n").alias("x"))
+    start = {r["pair"]: float(r["x"]) for r in pairs.collect()}
+    single: Counter = Counter()
+    for p, x in start.items():
+        single[p[0]] += x
+    model = _model(start | {c: x for c, x in single.items() if ord(c) > 127}, chars)
+    chars = model.chars
     known = scratch.put(runs.mapInPandas(lambda b, m=model: _candidates(b, m), "w string, n long, cands array<string>, utf8 array<boolean>"))
     for _ in range(iterations):
-        step = known.mapInPandas(lambda b, m=model: _expect(b, m), "pair string, x double").groupBy("pair").agg(F.sum("x").alias("x"))
+        step = known.filter("n > 0").mapInPandas(lambda b, m=model: _expect(b, m), "pair string, x double").groupBy("pair").agg(F.sum("x").alias("x"))
         model = Bigrams({r["pair"]: r["x"] for r in step.collect()}, chars)
-    return model, known
+    return model, known, priors
+
+
+def _source(docs: DataFrame, source_col: str):
+    """Name of a document's source; without the column all documents are of one."""
+    return F.coalesce(F.lower(F.trim(F.col(source_col).cast("string"))), F.lit("")) if source_col in docs.columns else F.lit("")
 
 
 class Judge:
     """Decides about documents under a learned model. Judged runs are kept for the next document."""
 
-    def __init__(self, model: Bigrams, verdicts: dict[str, list] | None = None):
-        self.model, self.verdicts, self.own = model, verdicts, {}
+    def __init__(self, model: Bigrams, verdicts: dict[str, list] | None = None, priors: dict[str, np.ndarray] | None = None):
+        self.model, self.verdicts, self.priors, self.own = model, verdicts, priors or {}, {}
+        self.logs, self.kept = model.matrix(), {}
+
+    def _whole(self, runs: list[str]) -> np.ndarray:
+        """Evidence of all distinct runs of a text for every swap of two pages."""
+        new = [w for w in runs if w not in self.kept]
+        if new:
+            if len(self.kept) + len(new) > KEPT_RUNS:
+                self.kept, new = {}, runs
+            self.kept |= zip(new, _evidence(new, self.logs), strict=True)
+        return np.sum([self.kept[w] for w in runs], axis=0)
 
     def score(self, w: str) -> list[tuple[float, str, list[tuple[str, str]]]]:
         """Readings of a run that are likelier than the plain one: (evidence, reading, keys)."""
@@ -221,23 +432,23 @@ class Judge:
         repertoire = _pages()[key[1]][1].keys()
         for w in _contexts(line):
             run = w[1:-1]
-            if not set(run) <= repertoire:
+            if set(run) <= LAYOUT:
+                continue
+            if not set(run) - LAYOUT <= repertoire:
                 total -= IMPOSSIBLE
-            elif not set(run) <= LAYOUT:
+            else:
                 got = run.translate(table)
                 if got != run:
                     total += self.model.log(w[0] + got + w[-1]) - self.model.log(w)
         return total
 
-    def keys(self, text: str) -> list[tuple[float, tuple[str, str]]]:
+    def keys(self, text: str, source: str = "") -> list[tuple[float, tuple[str, str]]]:
         """Keys under which the text is damaged, with their evidence, the strongest first."""
-        runs = dict.fromkeys(_contexts(text))
+        runs = [w for w in dict.fromkeys(_contexts(text)) if not set(w[1:-1]) <= LAYOUT]
         utf8: Counter = Counter()
         page: dict[tuple[str, str], float] = {}
         strong: dict[tuple[str, str], float] = {}
         for w in runs:
-            if set(w[1:-1]) <= LAYOUT:
-                continue
             for e, _, keys in self.score(w):
                 if _is_utf8(keys):
                     for k in keys:
@@ -248,6 +459,16 @@ class Judge:
                         if not k[0].startswith("utf-8"):
                             page[k] = max(page.get(k, 0.0), e)
         found = [(v, k) for k, v in utf8.items() if strong[k] >= UTF8_RUN and v >= UTF8_ALL]
+        prior = _prior(source, self.priors)
+        whole = None
+        if runs:
+            total = self._whole(runs)
+            odds = total + prior
+            n = int(np.argmax(odds))
+            if odds[n] >= PAGE_ODDS:
+                whole = _tables()[1][n]
+                found.append((float(total[n]), whole))
+        page.pop(whole, None)
         if page:
             lines = [x for x in text.split("\n") if not x.isascii()]
             for k in page:
@@ -257,15 +478,15 @@ class Judge:
                     e = self._line(x, k)
                     best = max(best, e)
                     total += max(0.0, e)
-                if best >= PAGE_LINE:
+                if best + (prior if isinstance(prior, float) else prior[_tables()[1].index(k)]) >= PAGE_ODDS:
                     found.append((total, k))
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
-    def restore(self, text: str) -> tuple[str, list[str]]:
+    def restore(self, text: str, source: str = "") -> tuple[str, list[str]]:
         """The text with its damaged places restored, and the keys applied (at most three)."""
         used: list[str] = []
         for _ in range(3):
-            keys = self.keys(text)
+            keys = self.keys(text, source)
             if not keys:
                 break
             key = keys[0][1]
@@ -295,9 +516,9 @@ class Judge:
         return "\n".join(x.translate(table) if not x.isascii() and self._line(x, key) > 0 else x for x in text.split("\n"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, restore: bool) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, restore: bool, source_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "garble")
-    model, known = learn_bigrams(docs, text_col, scratch=scratch)
+    model, known, priors = learn_bigrams(docs, text_col, scratch=scratch, source_col=source_col)
 
     def positive(batches):
         for pdf in batches:
@@ -316,17 +537,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, restore: bool) -> DataF
     kind = dict(docs.dtypes)[id_col]
 
     def judge(batches):
-        own = Judge(model, verdicts)
+        own, free = Judge(model, verdicts, priors), Judge(model, None, priors)
         for pdf in batches:
             rows = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+            for k, s, t in zip(pdf["k"], pdf["s"], pdf["t"], strict=True):
                 if not t or t.isascii():
                     continue
-                keys = own.keys(t)
+                keys = own.keys(t, s)
                 if not keys and LOST not in t:
                     continue
                 if restore:
-                    fixed, used = Judge(model).restore(t) if keys else (t, [])
+                    fixed, used = free.restore(t, s) if keys else (t, [])
                     rows.append((k, fixed, used, LOST in fixed))
                 else:
                     rows.append((k,))
@@ -334,20 +555,20 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, restore: bool) -> DataF
                 yield pd.DataFrame(rows, columns=["k", "restored_text", "swaps", "has_losses"] if restore else ["k"])
 
     schema = f"k {kind}, restored_text string, swaps array<string>, has_losses boolean" if restore else f"k {kind}"
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter("t is not null")
+    rows = docs.select(F.col(id_col).alias("k"), _source(docs, source_col).alias("s"), F.col(text_col).alias("t")).filter("t is not null")
     return rows.mapInPandas(judge, schema).withColumnRenamed("k", id_col)
 
 
-def find_garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Ids of documents whose text was, wholly or partly, read with a wrong encoding.
 
     Replacement characters (U+FFFD) are what a wrong decoder leaves and count by themselves. Null,
     empty and pure ASCII texts are never damaged. Repeated ids are judged row by row.
     """
-    return _judged(docs, id_col, text_col, restore=False)
+    return _judged(docs, id_col, text_col, restore=False, source_col=source_col)
 
 
-def restore_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def restore_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The damaged documents only: id, restored_text, swaps applied, has_losses (some characters are
     gone for good)."""
-    return _judged(docs, id_col, text_col, restore=True)
+    return _judged(docs, id_col, text_col, restore=True, source_col=source_col)

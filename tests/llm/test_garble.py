@@ -77,3 +77,15 @@ def test_empty(spark):
 @pytest.mark.parametrize("text", ["é", "a" * 200_000 + "é"])
 def test_single_documents(spark, text):
     assert find_garbled(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
+
+
+def test_one_page_for_a_large_source(spark):
+    docs = [(k, t) for k, lang, t in corpus(400) if lang in ("de", "fr")]
+    bad = {k for k, _ in docs if k % 5 < 3}
+    rows = [(k, "Large " if k in bad else f"small{k % 4}", misread(t, "cp1252", "cp850") if k in bad else t) for k, t in docs]
+    # one of the large source that is clean
+    rows += [(900, "large", docs[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == bad
+    out = {r["doc_id"]: r["restored_text"] for r in restore_texts(df).collect()}
+    assert out == {k: t for k, t in docs if k in bad}
