@@ -1,11 +1,13 @@
 """Mixing sources to target shares of tokens, with capped repetition.
 
 Tokens are counted with a public tokenizer. The documents of a source are cut, in a seeded order,
-into blocks of equal tokens, shard by shard. Sainte-Lague apportionment (highest quotients
-share / (2k + 1)) gives every source an integer number of blocks and splits it over the shards of
-the source; a source never gets more blocks than its documents times their cap hold. Within a
-shard, blocks are then taken in the order of a seeded hash, all of them once more for each full
-round. Nothing but the table of targets and the token counts of a bounded number of shards reaches
+into blocks of about equal tokens, shard by shard; a document that is longer than a block makes a
+block of its own length. Sainte-Lague apportionment (highest quotients
+share / (2k + 1)) gives every source an integer number of seats of ``block_tokens`` and splits it
+over the shards of the source; a source never gets more seats than its documents times their cap
+hold. Within a shard, all blocks are taken once for each full round that the seats pay for, and for
+the rest blocks in the order of a seeded hash, by the tokens that they really hold, to within half a
+block. Nothing but the table of targets and the token counts of a bounded number of shards reaches
 the driver.
 """
 
@@ -98,7 +100,7 @@ def plan_mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", tex
     targets: source, target_share, max_repeats (a null share or cap counts as 0; of repeated rows of
     a source the greatest values hold). The mix aims at as many tokens as ``docs`` holds in all,
     documents without a source or of other sources included; seats that a short source leaves empty
-    are not given to others, so that no source exceeds its share. Documents with a null id can't be
+    are not given to others, so that no source exceeds its share by more than half a block a shard. Documents with a null id can't be
     used but count for the total; documents without tokens are never used.
 
     Documents: id, source, n_tokens, times (1 to max_repeats). Report: source (as in targets),
@@ -113,39 +115,41 @@ def plan_mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", tex
     names = spark.createDataFrame([(r["t_source"],) for r in asked], "t_source string").withColumn("s_key", clean_source("t_source"))
     counted = with_token_counts(docs.select(F.col(id_col).alias("id"), clean_source(F.col(source_col)).alias("s_key"), F.col(text_col).alias("body")), "body", vocabulary)
     base = scratch.put(counted.select("id", "s_key", "n_tokens").join(F.broadcast(names), "s_key", "left").select("id", "t_source", "n_tokens"))
-    sums = {r["t_source"]: (int(r["n"] or 0), int(r["u"] or 0)) for r in base.groupBy("t_source").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("id").isNotNull(), F.col("n_tokens"))).alias("u")).collect()}
-    total = sum(n for n, _ in sums.values())
+    sums = {r["t_source"]: (int(r["n"] or 0), int(r["u"] or 0), int(r["m"] or 0)) for r in base.groupBy("t_source").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("id").isNotNull(), F.col("n_tokens"))).alias("u"), F.max("n_tokens").alias("m")).collect()}
+    total = sum(n for n, _, _ in sums.values())
     seats = total // block_tokens
-    usable = [sums.get(r["t_source"], (0, 0))[1] for r in asked]
-    shards = [max(1, min(MAX_SHARDS, -(-u // (SHARD_BLOCKS * block_tokens)))) for u in usable]
-    # the cap of a source in blocks is only known once its shards are cut; shards hold it exactly
+    none = (0, 0, 0)
+    usable = [sums.get(r["t_source"], none)[1] for r in asked]
+    # a shard holds SHARD_BLOCKS of the longest document too, so that half a block is little of it
+    shards = [max(1, min(MAX_SHARDS, -(-u // (SHARD_BLOCKS * max(block_tokens, sums.get(r["t_source"], none)[2]))))) for r, u in zip(asked, usable, strict=True)]
     cut = spark.createDataFrame([(r["t_source"], n) for r, n in zip(asked, shards, strict=True)], "t_source string, n_shards long")
     placed = base.filter("t_source is not null and id is not null and n_tokens > 0").join(F.broadcast(cut), "t_source")
     key = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed + 1)), "n_shards")).withColumn("at", key)
     upto = F.sum("n_tokens").over(Window.partitionBy("t_source", "shard").orderBy("at", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     placed = scratch.put(placed.withColumn("block", F.floor((upto - F.col("n_tokens")) / block_tokens).cast("long")).drop("n_shards", "at"))
-    blocks = placed.groupBy("t_source", "shard", "block").agg(F.count("*").alias("n"))
-    per = blocks.groupBy("t_source", "shard").agg(F.count("*").alias("n_blocks")).orderBy("t_source", "shard").collect()
+    blocks = placed.groupBy("t_source", "shard", "block").agg(F.sum("n_tokens").alias("held"))
+    per = blocks.groupBy("t_source", "shard").agg(F.sum("held").alias("held")).orderBy("t_source", "shard").collect()
     by: dict[str, list] = {}
     for r in per:
         by.setdefault(r["t_source"], []).append(r)
-    caps = [sum(r["n_blocks"] for r in by.get(a["t_source"], [])) * int(a["cap"]) for a in asked]
+    caps = [-(-u * int(a["cap"]) // block_tokens) for a, u in zip(asked, usable, strict=True)]
     quota = sainte_lague([float(a["share"]) for a in asked], int(seats * min(1.0, sum(float(a["share"]) for a in asked))) if asked else 0, caps, redistribute=False)
     rows = []
     for a, q in zip(asked, quota, strict=True):
         own = by.get(a["t_source"], [])
-        n = [r["n_blocks"] for r in own]
-        for r, k in zip(own, sainte_lague(n, int(q), [x * int(a["cap"]) for x in n]), strict=True):
-            rows.append((a["t_source"], r["shard"], int(k), r["n_blocks"]))
-    quotas = spark.createDataFrame(rows, "t_source string, shard long, quota long, n_blocks long")
-    pick = F.row_number().over(Window.partitionBy("t_source", "shard").orderBy(F.xxhash64("block", "shard", F.lit(seed)), "block"))
-    chosen = blocks.select("t_source", "shard", "block").join(F.broadcast(quotas), ["t_source", "shard"]).withColumn("pick", pick)
-    times = F.floor(F.col("quota") / F.col("n_blocks")).cast("long") + (F.col("pick") <= F.col("quota") % F.col("n_blocks")).cast("long")
+        n = [int(r["held"]) for r in own]
+        for r, x, k in zip(own, n, sainte_lague(n, int(q), [-(-x * int(a["cap"]) // block_tokens) for x in n]), strict=True):
+            rounds, rest = divmod(min(int(k) * block_tokens, x * int(a["cap"])), x)
+            rows.append((a["t_source"], r["shard"], rounds, rest))
+    quotas = spark.createDataFrame(rows, "t_source string, shard long, rounds long, rest long")
+    upto = F.sum("held").over(Window.partitionBy("t_source", "shard").orderBy(F.xxhash64("block", "shard", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = blocks.join(F.broadcast(quotas), ["t_source", "shard"]).withColumn("upto", upto)
+    times = F.col("rounds") + (F.col("upto") - F.col("held") / 2 < F.col("rest")).cast("long")
     used = placed.join(chosen.select("t_source", "shard", "block", times.alias("times")).filter("times > 0"), ["t_source", "shard", "block"])
     used = scratch.put(used.select("id", "t_source", "n_tokens", "times"))
     mixed = used.groupBy("t_source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"))
-    plan = [(a["t_source"], float(a["share"]), int(a["cap"]), sums.get(a["t_source"], (0, 0))[0], float(a["share"]) * total, int(q), int(a["cap"]) * sums.get(a["t_source"], (0, 0))[0] < float(a["share"]) * total) for a, q in zip(asked, quota, strict=True)]
+    plan = [(a["t_source"], float(a["share"]), int(a["cap"]), sums.get(a["t_source"], none)[0], float(a["share"]) * total, int(q), int(a["cap"]) * sums.get(a["t_source"], none)[0] < float(a["share"]) * total) for a, q in zip(asked, quota, strict=True)]
     report = spark.createDataFrame(plan, "source string, target_share double, max_repeats long, available_tokens long, target_tokens double, quota_blocks long, short boolean")
     report = report.join(mixed.withColumnRenamed("t_source", "source"), "source", "left").fillna(0, ["mixed_tokens"])
     whole = mixed.agg(F.sum("mixed_tokens").alias("mix_total"))

@@ -62,3 +62,13 @@ def test_empty(spark):
     r = report.first()
     assert (r["available_tokens"], r["actual_share"], r["short"]) == (0, 0.0, False)
     assert plan_mix(df, spark.createDataFrame([], "source string, target_share double, max_repeats int"))[1].count() == 0
+
+
+def test_documents_longer_than_a_block(spark):
+    docs = [(k, "pond " * 1000, "long") for k in range(40)] + [(100 + k, "rain " * 50, "short") for k in range(400)] + [(900, "hill " * 3000, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("long", 0.6, 3), ("short", 0.4, 3)], "source string, target_share double, max_repeats int")
+    used, report = plan_mix(df, targets, block_tokens=256)
+    for r in report.collect():
+        assert abs(r["mixed_tokens"] - r["target_tokens"]) <= 1600, r
+    assert all(1 <= r["times"] <= 3 for r in used.collect())
