@@ -50,6 +50,21 @@ def _keys(ts: traps.TrapStructure) -> DataFrame:
     return ts.members.groupBy("trap").agg(F.min("region").alias("min_region"), F.count("*").alias("n_regions"))
 
 
+def _named(ts: traps.TrapStructure, edges: DataFrame, *targets: str) -> DataFrame:
+    """Edges of traps with the trap and its targets by content; a target outside keeps its number, with 0 regions."""
+    k, out = _keys(ts), edges.join(_keys(ts), "trap")
+    for c in targets:
+        to = k.select(F.col("trap").alias(c), F.col("min_region").alias(f"{c}_region"), F.col("n_regions").alias(f"{c}_regions"))
+        out = out.join(to, c, "left")
+        out = out.withColumn(f"{c}_region", F.coalesce(f"{c}_region", c)).withColumn(f"{c}_regions", F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_regions", F.lit(0).cast("long"))))
+    return out.drop("trap", *targets)
+
+
+def _filled(ts: traps.TrapStructure, n: int) -> DataFrame:
+    """A valid fill state of traps of all levels: those without a region divisible by n."""
+    return ts.members.groupBy("trap").agg(F.every(F.col("region") % n != 0).alias("is_full")).filter("is_full").select("trap")
+
+
 # ------------------------------------------------------------------ sources, directions
 
 
@@ -289,6 +304,25 @@ def update_spillgraph(spark, d):
     return dyn.update_spill_graph(ts, low.filter("trap % 2 = 0").select("trap"), low.filter("trap % 3 = 0").select("trap"))
 
 
+@query
+def saturated_spillgraph_all(spark, d):
+    """The edges of all traps, those to parents included."""
+    ts = _structure(spark, d)
+    return _named(ts, flow.saturated_spill_graph(ts), "target")
+
+
+@query
+def complete_spillgraph_all(spark, d):
+    ts = _structure(spark, d)
+    return _named(ts, dyn.complete_spill_graph(ts, _filled(ts, 5)), "target")
+
+
+@query
+def update_spillgraph_all(spark, d):
+    ts = _structure(spark, d)
+    return _named(ts, dyn.update_spill_graph(ts, _filled(ts, 5), _filled(ts, 7)), "old_target", "new_target")
+
+
 @query
 def upstream_cells(spark, d):
     f, r = _field(spark, d)
@@ -348,6 +382,13 @@ def zvol_tables(spark, d):
     return dyn.level_tables(ts).join(_keys(ts).filter("n_regions = 1"), "trap").select(F.col("trap"), "z", "volume")
 
 
+@query
+def zvol_tables_all(spark, d):
+    """The level tables of all traps, merged ones from the spill level of their children."""
+    ts = _structure(spark, d)
+    return dyn.level_tables(ts).join(_keys(ts), "trap").select("min_region", "n_regions", "z", "volume")
+
+
 @query
 def fill_sequence_events(spark, d):
     return dyn.fill_sequence(_structure(spark, d), [(0.0, 1.0)]).events
