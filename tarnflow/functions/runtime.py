@@ -108,6 +108,24 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def salted_join(rows: DataFrame, state: DataFrame, on: list[str], spread: list[str], scratch: Scratch, parts: int = 256) -> DataFrame:
+    """Inner join of ``rows``, in which a few keys may hold most rows, with ``state``.
+
+    The rows of each key are counted first. A key with more than one part in ``parts`` of all rows (so
+    fewer than ``parts`` keys, which bounds what is broadcast) is spread by ``spread`` over as many
+    salts as its share asks for; its rows of ``state`` are repeated for them. Other keys join as they
+    are. Null keys join nothing.
+    """
+    counted = scratch.put(rows.groupBy(*on).agg(F.count("*").alias("_n")))
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    salts = F.least(F.lit(parts), F.ceil(F.col("_n") * F.lit(parts) / F.lit(max(1, total)))).cast("long")
+    hot = F.broadcast(counted.filter(F.col("_n") * parts > F.lit(total)).select(*on, salts.alias("_salts")))
+    n = F.coalesce("_salts", F.lit(1).cast("long"))
+    a = rows.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), n)).drop("_salts")
+    b = state.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_salts")
+    return a.join(b, [*on, "_salt"]).drop("_salt")
+
+
 def plain_double(c: Column) -> Column:
     """Signed zeros become +0.0, every NaN the one NaN; null stays null."""
     d = c.cast("double")
