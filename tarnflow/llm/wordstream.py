@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from functools import lru_cache
@@ -21,6 +22,12 @@ _LETTER = re.compile(r"\\(ss|ae|AE|oe|OE|aa|AA|o|O|l|L|i|j)(?![A-Za-z])(?:\{\}|[
 _ARGUMENT = re.compile(r"\\(?:begin|end|cite[a-z]*|eqref|ref|pageref|autoref|label|index|vspace|hspace|includegraphics|input|include|textcolor|color|fontsize|href|url|footnotemark)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}")
 _SPACE = re.compile(r"\\(?:[,;:!> \n]|\\)|~")
 _COMMAND = re.compile(r"\\[A-Za-z@]+\*?")
+_NOTE = re.compile(r"\s*\\(?:footnote|footnotetext|thanks|marginpar)(?:\[[^\]\n]*\])?\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
+#: Tags that stand inside a word or a sentence; the others divide.
+_INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|sup|sub|small|tt|code|font|mark|abbr|wbr)(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))*\s*/?>", re.IGNORECASE)
+_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|pre|blockquote|img|html|head|body|title|section|article|figure|figcaption)(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))*\s*/?>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+_LINK = re.compile(r"\]\((?:[a-z]+://|www\.|[/#])[^()\s]*\)")
 
 
 @lru_cache(maxsize=100_000)
@@ -31,7 +38,14 @@ def _bare(run: str) -> str:
 
 def plain(text: str) -> str:
     """The text without markup. Text in comments and unused definitions stays; names of
-    environments, references and files go; words that markup only divides are joined again, accents are dropped."""
+    environments, references and files go; notes stand after the text that they would interrupt; words
+    that markup only divides are joined again, accents are dropped."""
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
+    if "<" in text and ">" in text:
+        text = _TAG.sub(" ", _INLINE.sub("", text))
+    if "](" in text:
+        text = _LINK.sub("] ", text)
     if not text.isascii():
         text = _FOREIGN.sub(lambda m: _bare(m[0]), text)
     if "%" in text:
@@ -40,6 +54,10 @@ def plain(text: str) -> str:
         text = _COMMENT.sub(" ", text)
     if "\\" in text or "{" in text or "~" in text:
         text = _NO_GLYPH.sub("", text)
+        if "\\footnote" in text or "\\thanks" in text or "\\marginpar" in text:
+            notes: list[str] = []
+            text = _NOTE.sub(lambda m: notes.append(m[1]) or " ", text)
+            text = "\n\n".join([text, *notes])
         text = _ARGUMENT.sub(" ", text)
         text = _ACCENT.sub(r"\1", text)
         text = _LETTER.sub(lambda m: LETTER_COMMANDS[m[1]], text)
