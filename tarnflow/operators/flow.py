@@ -148,8 +148,7 @@ def all_subtraps_of(ts: TrapStructure, roots: DataFrame | Sequence[int]) -> Data
     spark = ts.traps.sparkSession
     r = roots.select(F.col("trap").alias("ancestor")) if isinstance(roots, DataFrame) else spark.createDataFrame([(int(t),) for t in roots], "ancestor long")
     pairs = ancestor_pairs(resolve_hierarchy(ts.traps, "trap", "parent", with_path=True))
-    below = pairs.join(r.distinct(), "ancestor", "left_semi").select(F.col("node").alias("trap")).distinct()
-    return below.join(r.select(F.col("ancestor").alias("trap")), "trap", "left_anti")
+    return pairs.join(r.distinct(), "ancestor", "left_semi").select(F.col("node").alias("trap")).distinct()
 
 
 def draining_into(links: DataFrame, goals: DataFrame, node: str = "node", target: str = "target") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _DEM = """
 dim AS (SELECT CAST(floor(sqrt(count(*) / 6.0)) AS BIGINT) AS n FROM lineitem),
 raw AS (SELECT l_orderkey % n + 1 AS i, l_partkey % n + 1 AS j, sum(CAST(round(l_quantity) AS BIGINT)) AS s FROM lineitem CROSS JOIN dim GROUP BY 1, 2),
@@ -124,6 +126,87 @@ ml AS (SELECT a.cell_id AS u, b.cell_id AS v FROM mk a CROSS JOIN dim JOIN mk b
 ms AS (SELECT u, v FROM ml UNION SELECT v, u FROM ml),
 mr(u, v) AS (SELECT cell_id, cell_id FROM mk UNION SELECT r.u, ms.v FROM mr r JOIN ms ON ms.u = r.v),
 cl AS (SELECT u AS cell_id, min(v) AS cluster FROM mr GROUP BY u)"""
+_DOWN = """,
+dn AS (SELECT t.*, o.z_pass AS pass, CASE WHEN x.ina THEN o.b ELSE o.a END AS down, CASE WHEN x.ina THEN o.cell ELSE o.ncell END AS cur_cell, CASE WHEN x.ina THEN o.ncell ELSE o.cell END AS down_cell
+  FROM tr t JOIN ord o ON o.k = t.k + 1 JOIN LATERAL (SELECT count(*) > 0 AS ina FROM mem m WHERE m.k = t.k AND m.comp = t.comp AND m.region = o.a) x ON true),
+sg AS (SELECT d.k, d.comp, d.min_region, d.n_regions, CASE WHEN p.pk IS NULL AND d.down <= 0 THEN d.down END AS away, coalesce(p.pk, l.k) AS tk, coalesce(p.pcomp, l.comp) AS tcomp
+  FROM dn d LEFT JOIN par p USING (k, comp) LEFT JOIN tr l ON l.min_region = d.down AND l.n_regions = 1)"""
+
+
+def _complete(name: str, n: int) -> str:
+    """CTE of the spill graph of the traps without a region divisible by n: k, comp, to_region, to_regions."""
+    return f""",
+f{n} AS (SELECT k, comp, bool_and(region % {n} <> 0) AS is_full FROM mem GROUP BY ALL),
+r{n} AS (SELECT p.pk AS k, p.pcomp AS comp, bool_and(f.is_full) AS ok FROM par p JOIN f{n} f USING (k, comp) GROUP BY ALL),
+{name} AS (SELECT d.k, d.comp, CASE WHEN r.ok OR pf.is_full THEN q.min_region WHEN d.down > 0 THEN d.down ELSE -1 END AS to_region, CASE WHEN r.ok OR pf.is_full THEN q.n_regions WHEN d.down > 0 THEN 1 ELSE 0 END AS to_regions
+  FROM dn d JOIN f{n} f USING (k, comp) LEFT JOIN par p USING (k, comp) LEFT JOIN r{n} r ON r.k = p.pk AND r.comp = p.pcomp LEFT JOIN f{n} pf ON pf.k = p.pk AND pf.comp = p.pcomp
+  LEFT JOIN tr q ON q.k = p.pk AND q.comp = p.pcomp WHERE f.is_full)"""
+
+
+_TOP = """,
+top AS (SELECT t.k, t.comp, t.elevation FROM tr t ANTI JOIN par USING (k, comp)),
+tmem AS (SELECT m.region, t.elevation, t.k, t.comp FROM top t JOIN mem m USING (k, comp))"""
+
+
+def _above(goals: str) -> str:
+    """CTE of the lowest traps whose water reaches one of the goals (k, comp) once all are full."""
+    return f""",
+up(k, comp) AS ({goals} UNION SELECT s.k, s.comp FROM up u JOIN sg s ON s.tk = u.k AND s.tcomp = u.comp),
+upr AS (SELECT t.min_region AS region FROM up JOIN tr t USING (k, comp) WHERE t.n_regions = 1)"""
+
+
+def _upstream(cell: str) -> str:
+    """Rows of the area upstream of a cell, everything that spills into it included."""
+    return _sql(
+        _ALL + _DOWN + _TOP + f""", here AS ({cell}), spot AS (SELECT c.cell_id, c.region, t.k, t.comp, c.z <= t.elevation AS pond FROM rg c JOIN here USING (cell_id) JOIN tmem t ON t.region = c.region),
+area AS (SELECT DISTINCT w.cell_id FROM walk w JOIN spot ON spot.cell_id = w.cur WHERE NOT spot.pond)"""
+        + _above("SELECT k, comp FROM (SELECT k, comp FROM spot WHERE pond UNION SELECT t.k, t.comp FROM top t JOIN dn d USING (k, comp) JOIN area a ON a.cell_id = d.down_cell)"),
+        "SELECT cell_id FROM area UNION SELECT c.cell_id FROM rg c JOIN upr USING (region)",
+    )
+
+
+#: Rain 2 and infiltration (i + j) mod 3 through a graph of cells and (negative) full lowest traps, in the
+#: order in which all that flows into a node is known. Kind 0 passes on what is above 0, kind 1 (footprint
+#: to trap) what is below.
+_RAIN = "2.0 - (i + j) % 3"
+
+
+def _flood(nodes: str, links: str) -> str:
+    return f""",
+el(src, dst, kind) AS ({links}),
+nd(id, v) AS ({nodes}),
+fl(id, v, wait) AS (
+  SELECT nd.id, nd.v, coalesce(w.n, 0) FROM nd LEFT JOIN (SELECT dst, count(*) AS n FROM el GROUP BY 1) w ON w.dst = nd.id
+  UNION ALL
+  SELECT f.id, f.v + coalesce(g.s, 0), f.wait - coalesce(g.n, 0) FROM fl f LEFT JOIN (
+    SELECT e.dst, sum(CASE WHEN e.kind = 0 THEN greatest(x.v, 0) ELSE least(x.v, 0) END) AS s, count(*) AS n FROM fl x JOIN el e ON e.src = x.id WHERE x.wait = 0 GROUP BY 1) g ON g.dst = f.id
+  WHERE f.wait > 0),
+flow AS (SELECT id, v FROM fl WHERE wait = 0)"""
+
+
+_DRY = _flood(f"SELECT cell_id, {_RAIN} FROM rg", "SELECT cell_id, target, 0 FROM ptr WHERE target <> cell_id")
+# lowest traps that spill into each other keep their water
+_HALF = (
+    _DOWN
+    + """,
+low AS (SELECT min_region AS region, down, down_cell, cur_cell, elevation FROM dn WHERE n_regions = 1),
+lp AS (SELECT a.region FROM low a JOIN low b ON a.down = b.region AND b.down = a.region),
+fr AS (SELECT low.* FROM low ANTI JOIN lp USING (region))"""
+    + _flood(
+        f"SELECT cell_id, {_RAIN} FROM rg UNION ALL SELECT -region, 0.0 FROM low",
+        "SELECT cell_id, target, 0 FROM ptr WHERE target <> cell_id UNION ALL SELECT p.cell_id, -g.region, 0 FROM ptr p JOIN rg g USING (cell_id) WHERE p.target = p.cell_id AND g.region > 0 "
+        "UNION ALL SELECT g.cell_id, -g.region, 1 FROM rg g JOIN fr ON fr.region = g.region AND g.z <= fr.elevation UNION ALL SELECT -region, down_cell, 0 FROM fr WHERE down <> 0 AND down_cell <> cur_cell",
+    )
+    + """,
+kept AS (SELECT l.region, CASE WHEN lp.region IS NULL THEN 0.0 ELSE flow.v END AS region_accum FROM low l LEFT JOIN lp USING (region) JOIN flow ON flow.id = -l.region),
+gone AS (SELECT greatest(flow.v, 0) AS v FROM flow JOIN ptr ON ptr.cell_id = flow.id AND ptr.target = ptr.cell_id JOIN rg ON rg.cell_id = flow.id WHERE rg.region < 0
+  UNION ALL SELECT greatest(flow.v, 0) FROM fr JOIN flow ON flow.id = -fr.region WHERE down = 0 OR down_cell = cur_cell),
+seep AS (SELECT (g.i + g.j) % 3 - CASE WHEN low.region IS NULL THEN greatest(-flow.v, 0) ELSE 0 END AS v FROM rg g JOIN flow ON flow.id = g.cell_id LEFT JOIN low ON low.region = g.region AND g.z <= low.elevation)"""
+)
+_BIG = "(SELECT arg_max(region, (n, region)) FROM (SELECT region, count(*) AS n FROM rg WHERE region > 0 GROUP BY 1))"
+#: Names of the tables that directions and regions define, for a second raster beside the first.
+_OWN = r"\b(hz|nb|sl|bs|fld|ptr|fe|fs|freach|froot|walk|ends|comps|nums|rg)\b"
+_KEPT = "kx AS (SELECT k, least(n, 2 * k) AS at FROM dim, unnest(range(1, CAST(ceil(n / 2.0) AS BIGINT) + 1)) AS u(k))"
 _TILE = "list_filter(range(0, {n}), lambda k: {c} >= 1 + (dim.n * k) // {n})[-1]"
 
 ORACLES = {
@@ -156,15 +239,9 @@ ORACLES = {
     "trap_parents": _sql(_ALL, "SELECT t.min_region, t.n_regions, q.min_region AS parent_min_region, q.n_regions AS parent_regions FROM tr t LEFT JOIN par p USING (k, comp) LEFT JOIN tr q ON q.k = p.pk AND q.comp = p.pcomp"),
     "toplevel_traps": _sql(_ALL, "SELECT min_region, n_regions FROM tr ANTI JOIN par USING (k, comp)"),
     "subtraps_closure": _sql(_ALL, "SELECT min_region, n_regions FROM tr SEMI JOIN par USING (k, comp)"),
-    "supertraps_of": _sql(_ALL, "SELECT region, count(*) AS n_traps FROM mem GROUP BY 1"),
     "trap_counts": _sql(_ALL, "SELECT (SELECT count(*) FROM regs) AS numregions, count(*) AS numtraps FROM tr"),
     "flow_accumulation": _sql(_REG, "SELECT cur AS cell_id, count(*) AS total FROM walk GROUP BY 1"),
     "region_inflow": _sql(_REG, "SELECT region, CAST(count(*) AS DOUBLE) AS region_accum FROM rg WHERE region > 0 GROUP BY 1"),
-    "saturated_spillgraph": _sql(
-        _ALL,
-        "SELECT t.min_region AS trap, s.dst AS target FROM tr t ANTI JOIN par USING (k, comp) "
-        "JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY z_pass, phase, ord, pos) AS rn FROM rag) s ON s.src = t.min_region AND s.rn = 1 WHERE t.n_regions = 1",
-    ),
     "upstream_cells": _sql(_REG, "SELECT DISTINCT w.cell_id FROM walk w JOIN dem g ON g.cell_id = w.cur WHERE g.i % 25 = 0 AND g.j % 25 = 0"),
     "flat_areas": _sql(
         """, pr AS (SELECT a.cell_id AS u, b.cell_id AS v, abs(b.z - a.z) / n AS s FROM dem a CROSS JOIN dim JOIN dem b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1)),
@@ -173,29 +250,12 @@ fr(u, v) AS (SELECT u, u FROM ls UNION SELECT r.u, ls.v FROM fr r JOIN ls ON ls.
 big AS (SELECT c FROM fc GROUP BY c HAVING count(*) > 3)""",
         "SELECT d.cell_id, (b.c IS NOT NULL) AS is_flat FROM dem d LEFT JOIN fc ON fc.u = d.cell_id LEFT JOIN big b ON b.c = fc.c",
     ),
-    "zvol_tables": _sql(
-        _REG
-        + _SPILL
-        + """, el AS (SELECT src AS trap, min(z_pass) AS e FROM rag GROUP BY 1),
-cz AS (SELECT trap, z, count(*) AS n FROM (SELECT r.region AS trap, r.z FROM rg r JOIN el ON el.trap = r.region AND r.z <= el.e) GROUP BY ALL UNION ALL SELECT trap, e, 0 FROM el),
-cs AS (SELECT trap, z, CAST(sum(n) AS DOUBLE) AS n FROM cz GROUP BY ALL)""",
-        "SELECT trap, z, z * sum(n) OVER w - sum(n * z) OVER w AS volume FROM cs WINDOW w AS (PARTITION BY trap ORDER BY z)",
-    ),
     "event_states": _EVENTS + "SELECT user_id, event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM e",
     "event_last": _EVENTS + "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM e WHERE value IS NOT NULL GROUP BY 1",
     "asof_state": _EVENTS
     + """, tp AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 7 DAYS)) AS tp FROM e),
 c AS (SELECT tp, user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM tp JOIN e ON e.ts <= tp.tp GROUP BY ALL)
 SELECT strftime(tp, '%Y-%m-%d %H:%M:%S') AS tp, user_id, event_id FROM c""",
-    "complete_spillgraph": _sql(
-        _ALL
-        + """, even AS (SELECT t.k, t.comp, t.min_region, t.n_regions = 1 AND t.min_region % 2 = 0 AS is_full FROM tr t),
-ready AS (SELECT p.pk, p.pcomp, bool_and(e.is_full) AS ok FROM par p JOIN even e USING (k, comp) GROUP BY ALL),
-low AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY z_pass, phase, ord, pos) AS rn FROM rag)""",
-        "SELECT e.min_region AS trap, CASE WHEN r.ok THEN q.min_region WHEN s.dst > 0 THEN s.dst ELSE -1 END AS target_region, "
-        "CASE WHEN r.ok THEN q.n_regions WHEN s.dst > 0 THEN 1 ELSE 0 END AS target_regions FROM even e JOIN low s ON s.src = e.min_region AND s.rn = 1 "
-        "LEFT JOIN par p USING (k, comp) LEFT JOIN ready r ON r.pk = p.pk AND r.pcomp = p.pcomp LEFT JOIN tr q ON q.k = p.pk AND q.comp = p.pcomp WHERE e.is_full",
-    ),
     "region_selection": _sql(
         _ALL
         + """, top AS (SELECT t.k, t.comp, t.elevation FROM tr t ANTI JOIN par USING (k, comp)),
@@ -209,5 +269,57 @@ river AS (SELECT DISTINCT w.cur AS cell_id FROM start s JOIN walk w USING (cell_
     # with every pond full and nothing seeping away, all rain leaves the domain
     "overflow_full_traps": _sql("", "SELECT CAST(count(*) AS DOUBLE) AS precipitation, 0.0::DOUBLE AS region_accum, CAST(count(*) AS DOUBLE) AS offregion_runoff, 0.0::DOUBLE AS used_infiltration FROM dem"),
     "mask_clusters": _sql(_MASK, "SELECT cell_id, cluster FROM cl"),
-    "flatten_min": _sql(_MASK, "SELECT d.cell_id, coalesce(l.z, d.z) AS z FROM dem d LEFT JOIN cl USING (cell_id) LEFT JOIN (SELECT cluster, min(z) AS z FROM cl JOIN mk USING (cell_id) GROUP BY 1) l USING (cluster)"),
+    "supertraps_of": _sql(_ALL, "SELECT m.region, string_agg(t.min_region || ':' || t.n_regions, ' ' ORDER BY t.n_regions, t.min_region) AS traps FROM mem m JOIN tr t USING (k, comp) GROUP BY 1"),
+    "subtraps_nested": _sql(
+        _ALL,
+        "SELECT DISTINCT t.min_region, t.n_regions FROM tr t JOIN mem m ON m.region = t.min_region JOIN tr p ON p.k = m.k AND p.comp = m.comp AND p.n_regions > t.n_regions WHERE p.min_region % 3 <> 0",
+    ),
+    "trap_footprints": _sql(_ALL, "SELECT t.min_region, t.n_regions, c.cell_id FROM mem m JOIN tr t USING (k, comp) JOIN rg c ON c.region = m.region WHERE c.z <= t.elevation"),
+    "trap_spillpoints": _sql(_ALL + _DOWN, "SELECT min_region, n_regions, elevation, CASE WHEN down <= 0 THEN -1 ELSE down END AS downstream_region, cur_cell AS current_region_cell, down_cell AS downstream_region_cell FROM dn"),
+    "saturated_spillgraph_all": _sql(_ALL + _DOWN, "SELECT s.min_region, s.n_regions, coalesce(t.min_region, s.away) AS target_region, coalesce(t.n_regions, 0) AS target_regions FROM sg s LEFT JOIN tr t ON t.k = s.tk AND t.comp = s.tcomp"),
+    "complete_spillgraph_all": _sql(_ALL + _DOWN + _complete("g", 5), "SELECT t.min_region, t.n_regions, g.to_region AS target_region, g.to_regions AS target_regions FROM g JOIN tr t USING (k, comp)"),
+    "update_spillgraph_all": _sql(
+        _ALL + _DOWN + _complete("a", 5) + _complete("b", 7),
+        "SELECT t.min_region, t.n_regions, a.to_region AS old_target_region, a.to_regions AS old_target_regions, b.to_region AS new_target_region, b.to_regions AS new_target_regions "
+        "FROM a FULL JOIN b USING (k, comp) JOIN tr t USING (k, comp) WHERE (a.to_region, a.to_regions) IS DISTINCT FROM (b.to_region, b.to_regions)",
+    ),
+    "invalid_full_traps": _sql(_ALL, "SELECT DISTINCT t.min_region, t.n_regions FROM tr t JOIN par p ON p.pk = t.k AND p.pcomp = t.comp JOIN tr c ON c.k = p.k AND c.comp = p.comp WHERE t.min_region % 2 = 0 AND c.min_region % 2 <> 0"),
+    "upstream_regions": _sql(_ALL + _DOWN + _TOP + _above(f"SELECT k, comp FROM tmem WHERE region = {_BIG}"), "SELECT region FROM upr"),
+    "upstream_area": _upstream("SELECT arg_max(cell_id, (z, cell_id)) AS cell_id FROM rg WHERE region > 0"),
+    "upstream_area_river": _upstream("SELECT arg_max(c.cell_id, (a.n, c.cell_id)) AS cell_id FROM rg c JOIN tmem t ON t.region = c.region AND c.z > t.elevation JOIN (SELECT cur AS cell_id, count(*) AS n FROM walk GROUP BY 1) a ON a.cell_id = c.cell_id"),
+    "upstream_area_pond": _upstream(f"SELECT arg_min(cell_id, (z, cell_id)) AS cell_id FROM rg WHERE region = {_BIG}"),
+    "watercourses_infil": _sql(_REG + _DRY, "SELECT id AS cell_id, CAST(v AS DOUBLE) AS runoff FROM flow"),
+    "runoff_half_full": _sql(_ALL + _HALF, "SELECT id AS cell_id, CAST(v AS DOUBLE) AS runoff FROM flow WHERE id > 0"),
+    "inflow_half_full": _sql(_ALL + _HALF, "SELECT region, CAST(region_accum AS DOUBLE) AS region_accum FROM kept"),
+    "watercourses_half_full": _sql(
+        _ALL + _HALF,
+        "SELECT (SELECT CAST(2 * count(*) AS DOUBLE) FROM rg) AS precipitation, (SELECT CAST(sum(region_accum) AS DOUBLE) FROM kept) AS region_accum, "
+        "(SELECT CAST(sum(v) AS DOUBLE) FROM gone) AS offregion_runoff, (SELECT CAST(sum(v) AS DOUBLE) FROM seep) AS used_infiltration",
+    ),
+    "region_reindex": _sql(
+        _field() + _REGIONS + _EDIT + re.sub(_OWN, r"\1_2", _field("dem2") + _REGIONS),
+        "SELECT DISTINCT a.region AS old_region, b.region AS new_region FROM rg a JOIN rg_2 b USING (cell_id)",
+    ),
+    "region_remap": _sql(_REG, "SELECT cell_id, CASE WHEN region % 2 = 0 THEN -region ELSE region END AS region FROM rg"),
+    "mesh_faces": _sql("", "SELECT cell_id AS a, cell_id + 1 AS b, cell_id + 1 + n AS c, cell_id + n AS d FROM dem CROSS JOIN dim WHERE i < n AND j < n"),
+    "mesh_geometry": _sql(
+        f""", {_KEPT}, st AS (SELECT n, n / (count(*) - 1.0) AS d FROM kx CROSS JOIN dim GROUP BY n),
+mg AS (SELECT a.k AS i, b.k AS j, z FROM dem JOIN kx a ON a.at = dem.i JOIN kx b ON b.at = dem.j),
+gr AS (SELECT *, z - lag(z) OVER (PARTITION BY j ORDER BY i) AS a, lead(z) OVER (PARTITION BY j ORDER BY i) - z AS b, z - lag(z) OVER (PARTITION BY i ORDER BY j) AS c, lead(z) OVER (PARTITION BY i ORDER BY j) - z AS e FROM mg),
+nm AS (SELECT i, j, z, n, d, (coalesce(a, b) + coalesce(b, a)) / (2 * d) AS gx, (coalesce(c, e) + coalesce(e, c)) / (2 * d) AS gy FROM gr CROSS JOIN st),
+un AS (SELECT *, sqrt(gx * gx + gy * gy + 1) AS len, (i - 1) * CAST(d AS DOUBLE) AS x, (j - 1) * CAST(d AS DOUBLE) AS y FROM nm)""",
+        "SELECT i, j, z * 0.5 AS z, round(x, 9) AS x, round(y, 9) AS y, round(x / n, 9) AS u, round(y / n, 9) AS v, round(gx / len, 9) AS nx, round(gy / len, 9) AS ny, round(1 / len, 9) AS nz FROM un",
+    ),
+    "zvol_tables_all": _sql(
+        _ALL
+        + """, fo AS (SELECT p.pk AS k, p.pcomp AS comp, max(t.elevation) AS floor FROM par p JOIN tr t USING (k, comp) GROUP BY ALL),
+cz AS (SELECT m.k, m.comp, greatest(c.z, coalesce(fo.floor, c.z)) AS z, 1 AS n FROM mem m JOIN rg c ON c.region = m.region AND c.z <= m.elevation LEFT JOIN fo USING (k, comp)
+       UNION ALL SELECT k, comp, elevation, 0 FROM tr),
+cs AS (SELECT k, comp, z, CAST(sum(n) AS DOUBLE) AS n FROM cz GROUP BY ALL)""",
+        "SELECT t.min_region, t.n_regions, z, z * sum(n) OVER w - sum(n * z) OVER w AS volume FROM cs JOIN tr t USING (k, comp) WINDOW w AS (PARTITION BY k, comp ORDER BY z)",
+    ),
+    **{
+        f"flatten_{h}": _sql(_MASK, f"SELECT d.cell_id, coalesce(l.z, d.z) AS z FROM dem d LEFT JOIN cl USING (cell_id) LEFT JOIN (SELECT cluster, {f}(z) AS z FROM cl JOIN mk USING (cell_id) GROUP BY 1) l USING (cluster)")
+        for h, f in (("min", "min"), ("max", "max"), ("mean", "avg"))
+    },
 }

@@ -176,6 +176,23 @@ def spill_regions_update(spark, d):
     return reg.update_spill_regions(old, fld.update_spill_field(old_field, new, dom), new, dom)[0].select("cell_id", "region")
 
 
+@query
+def region_reindex(spark, d):
+    """Old and new numbers of the regions that share cells before and after the update."""
+    r = _raster(spark, d)
+    old_field = fld.spill_field(r)
+    new, dom = _edited(r)
+    return reg.update_spill_regions(reg.spill_regions(old_field, r), fld.update_spill_field(old_field, new, dom), new, dom)[1]
+
+
+@query
+def region_remap(spark, d):
+    """Regions renumbered by a table: those of even number swap sign, the others stay."""
+    regions = reg.spill_regions(*_field(spark, d))
+    pairs = regions.select("region").distinct().filter("region % 2 = 0").select(F.col("region").alias("old"), (-F.col("region")).alias("new"))
+    return reg.remap(regions.select("cell_id", "region"), pairs)
+
+
 @query
 def region_sizes(spark, d):
     return reg.spill_regions(*_field(spark, d)).groupBy("region").agg(F.count("*").alias("n_cells"))
@@ -219,7 +236,11 @@ def toplevel_traps(spark, d):
 
 @query
 def supertraps_of(spark, d):
-    return _structure(spark, d).supertraps.select("region", F.size("traps").cast("long").alias("n_traps"))
+    """The traps that hold each region, by content, the innermost first."""
+    ts = _structure(spark, d)
+    each = ts.supertraps.select("region", F.explode("traps").alias("trap")).join(_keys(ts), "trap")
+    named = F.array_sort(F.collect_list(F.struct("n_regions", "min_region")))
+    return each.groupBy("region").agg(F.array_join(F.transform(named, lambda x: F.concat_ws(":", x.min_region, x.n_regions)), " ").alias("traps"))
 
 
 @query
@@ -229,6 +250,27 @@ def subtraps_closure(spark, d):
     return _keys(ts).join(below, "trap").select("min_region", "n_regions")
 
 
+@query
+def subtraps_nested(spark, d):
+    """All traps below the merged ones whose least region is no multiple of 3, which lie below each other."""
+    ts = _structure(spark, d)
+    roots = _keys(ts).filter("n_regions > 1 and min_region % 3 <> 0")
+    return _keys(ts).join(flow.all_subtraps_of(ts, roots), "trap").select("min_region", "n_regions")
+
+
+@query
+def trap_footprints(spark, d):
+    ts = _structure(spark, d)
+    return _keys(ts).join(ts.footprints, "trap").select("min_region", "n_regions", "cell_id")
+
+
+@query
+def trap_spillpoints(spark, d):
+    """Where every trap pours over, with all outside catchments merged into one."""
+    ts = _structure(spark, d, merge_outregions=True)
+    return _keys(ts).join(ts.traps, "trap").select("min_region", "n_regions", "elevation", "downstream_region", "current_region_cell", "downstream_region_cell")
+
+
 @query
 def trap_counts(spark, d):
     ts = _structure(spark, d)
@@ -274,34 +316,25 @@ def overflow_full_traps(spark, d):
     return flow.watercourses(ts, ts.toplevel())[2]
 
 
-@query
-def watercourses_half_full(spark, d):
+def _half_full(spark, d):
     ts = _structure(spark, d)
-    full = ts.traps.filter("level = 0").select("trap")
-    return flow.watercourses(ts, full, precipitation=2.0, infiltration=fx.infiltration(ts.raster))[2]
+    return flow.watercourses(ts, ts.traps.filter("level = 0").select("trap"), precipitation=2.0, infiltration=fx.infiltration(ts.raster))
 
 
 @query
-def saturated_spillgraph(spark, d):
-    ts = _structure(spark, d)
-    low = ts.traps.filter("level = 0 and parent is null").select("trap")
-    return flow.saturated_spill_graph(ts).join(low, "trap").select("trap", "target")
+def watercourses_half_full(spark, d):
+    """Totals with every lowest trap full, no merged one."""
+    return _half_full(spark, d)[2]
 
 
 @query
-def complete_spillgraph(spark, d):
-    ts = _structure(spark, d)
-    graph = dyn.complete_spill_graph(ts, ts.traps.filter("level = 0 and trap % 2 = 0").select("trap"))
-    k = _keys(ts).withColumnRenamed("trap", "target")
-    one, none = F.lit(-1).cast("long"), F.lit(0).cast("long")
-    return graph.join(k, "target", "left").select("trap", F.coalesce("min_region", one).alias("target_region"), F.coalesce("n_regions", none).alias("target_regions"))
+def runoff_half_full(spark, d):
+    return _half_full(spark, d)[0]
 
 
 @query
-def update_spillgraph(spark, d):
-    ts = _structure(spark, d)
-    low = ts.traps.filter("level = 0")
-    return dyn.update_spill_graph(ts, low.filter("trap % 2 = 0").select("trap"), low.filter("trap % 3 = 0").select("trap"))
+def inflow_half_full(spark, d):
+    return _half_full(spark, d)[1]
 
 
 @query
@@ -323,6 +356,14 @@ def update_spillgraph_all(spark, d):
     return _named(ts, dyn.update_spill_graph(ts, _filled(ts, 5), _filled(ts, 7)), "old_target", "new_target")
 
 
+@query
+def invalid_full_traps(spark, d):
+    """Full traps with a child that is not full, in a state that is full where the least region is even."""
+    ts = _structure(spark, d)
+    bad = dyn.invalid_full_traps(ts, _keys(ts).filter("min_region % 2 = 0").select("trap"))
+    return _keys(ts).join(bad, "trap").select("min_region", "n_regions")
+
+
 @query
 def upstream_cells(spark, d):
     f, r = _field(spark, d)
@@ -330,16 +371,41 @@ def upstream_cells(spark, d):
     return flow.draining_into(fld.flow_edges(f, r), goals, "cell_id", "target").select(F.col("node").alias("cell_id"))
 
 
+def _largest(ts) -> int:
+    return ts.regions.filter("region > 0").groupBy("region").agg(F.count("*").alias("n")).agg(F.max_by("region", F.struct("n", "region"))).first()[0]
+
+
+def _upstream(ts, cell):
+    return flow.upstream_area(ts, cell, local_only=False)
+
+
 @query
 def upstream_area(spark, d):
     ts = _structure(spark, d)
-    c = ts.regions.filter("region > 0").agg(F.max_by("cell_id", F.struct("z", "cell_id"))).first()[0]
-    return flow.upstream_area(ts, c, local_only=False)
+    return _upstream(ts, ts.regions.filter("region > 0").agg(F.max_by("cell_id", F.struct("z", "cell_id"))).first()[0])
+
+
+@query
+def upstream_area_river(spark, d):
+    """Upstream of the dry cell that most cells drain through."""
+    ts = _structure(spark, d)
+    top = ts.members.join(ts.toplevel(), "trap").join(ts.traps.select("trap", "elevation"), "trap").select("region", "elevation")
+    dry = ts.regions.join(top, "region").filter("z > elevation").join(flow.accumulate_flow(ts.field, ts.raster), "cell_id")
+    return _upstream(ts, dry.agg(F.max_by("cell_id", F.struct("total", "cell_id"))).first()[0])
+
+
+@query
+def upstream_area_pond(spark, d):
+    """Upstream of the lowest cell of the region with most cells."""
+    ts = _structure(spark, d)
+    return _upstream(ts, ts.regions.filter(F.col("region") == _largest(ts)).agg(F.min_by("cell_id", F.struct("z", "cell_id"))).first()[0])
 
 
 @query
 def upstream_regions(spark, d):
-    return flow.all_upstream_regions(_structure(spark, d), 1)
+    """The regions whose water reaches the region with most cells once everything is full."""
+    ts = _structure(spark, d)
+    return flow.all_upstream_regions(ts, _largest(ts))
 
 
 @query
@@ -361,25 +427,39 @@ def mask_clusters(spark, d):
     return flat.mask_clusters(r.cells.filter("z >= 160000").select("cell_id", "i", "j"), r)
 
 
+def _flattened(spark, d, height):
+    r = _raster(spark, d)
+    return flat.flatten_grid(r, r.cells.filter("z >= 160000").select("cell_id", "i", "j"), height).cells.select("cell_id", "z")
+
+
 @query
 def flatten_min(spark, d):
-    r = _raster(spark, d)
-    return flat.flatten_grid(r, r.cells.filter("z >= 160000").select("cell_id", "i", "j"), "min").cells.select("cell_id", "z")
+    return _flattened(spark, d, "min")
+
+
+@query
+def flatten_max(spark, d):
+    return _flattened(spark, d, "max")
+
+
+@query
+def flatten_mean(spark, d):
+    return _flattened(spark, d, "mean")
 
 
 @query
 def mesh_geometry(spark, d):
     out = geometry.mesh_geometry(_raster(spark, d), downsample=2.0, height=0.5)
-    return out.select("i", "j", "z", F.round("nx", 9).alias("nx"), F.round("ny", 9).alias("ny"), F.round("nz", 9).alias("nz"))
+    return out.select("i", "j", "z", *[F.round(c, 9).alias(c) for c in ("x", "y", "u", "v", "nx", "ny", "nz")])
 
 
-# ------------------------------------------------------------------ dynamics
+@query
+def mesh_faces(spark, d):
+    r = _raster(spark, d)
+    return geometry.mesh_faces(r.nrows, r.ncols, spark)
 
 
-@query
-def zvol_tables(spark, d):
-    ts = _structure(spark, d)
-    return dyn.level_tables(ts).join(_keys(ts).filter("n_regions = 1"), "trap").select(F.col("trap"), "z", "volume")
+# ------------------------------------------------------------------ dynamics
 
 
 @query

@@ -83,6 +83,7 @@ def test_two_pits(spark):
     assert (ts.numregions(), ts.numtraps()) == (2, 3)
     assert {x["trap"] for x in ts.subtrapsof(3).collect()} == {1, 2} and ts.parentof(1).first()["parent"] == 3
     assert {x["trap"] for x in flow.all_subtraps_of(ts, [3]).collect()} == {1, 2}
+    assert {x["trap"] for x in flow.all_subtraps_of(ts, [3, 1]).collect()} == {1, 2}  # 1 lies below 3
     assert {(x["region"], tuple(x["traps"])) for x in ts.supertraps.collect()} == {(1, (1, 3)), (2, (2, 3))}
 
 
