@@ -1,10 +1,12 @@
-"""Per-key results that no hot key slows down: distinct rows, extremes and exact quantiles.
+"""Per-key results that no hot key slows down: distinct rows, extremes, exact quantiles, frequent keys.
 
 Rows become distinct by their full identity (never by the key alone), counts and extremes are
-combined map-side, and quantiles come by selection over histograms: every round counts the values
-of each key in bins, keeps the bin that holds the wanted rank together with the least and greatest
-value seen in it, and refines only that bin until it holds one value. The counts of a bin add up
-across tasks, so the values of a hot key are never gathered anywhere.
+combined map-side, and order statistics come by selection over histograms: every round counts the values
+of each key in bins, keeps the bins that hold a wanted rank together with the least and greatest value
+seen in them, and goes on with the rows of these bins only, until a bin holds one value. The counts of a
+bin add up across tasks, so the values of a hot key are never gathered anywhere. Keys that hold a given
+share of all rows come by the same selection over the keys themselves: in the order of keys such a key
+covers so many ranks in a row that one of the evenly spaced ranks falls into it.
 """
 
 from __future__ import annotations
@@ -14,18 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.runtime import BROADCAST_ROWS, Scratch
-
-#: Rows of the per-key state are repeated so often where it is too large to broadcast.
-SALTS = 16
-
-
-def _with_state(rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(state), "key")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)))
-    spread = state.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["key", "salt"]).drop("salt")
+from tarnflow.functions.runtime import BROADCAST_ROWS, Scratch, salted_join
 
 
 def distinct_items(df: DataFrame, key: str, item: Sequence[str], value: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
@@ -39,57 +30,98 @@ def distinct_items(df: DataFrame, key: str, item: Sequence[str], value: str | No
     ids = [f"id_{n}" for n in range(len(item))]
     # one exchange by the item: the grouping by (item, key) and the window by item both use it
     one = cols.repartition(*[F.col(c) for c in ids]).groupBy(*ids, "key").agg(F.min("value").alias("value"), *[F.min(f"c_{c}").alias(f"c_{c}") for c in carry])
+    if key in item:  # an item has one key then
+        return one.select(F.struct(*ids).alias("ident"), "key", "value", *[F.col(f"c_{c}").alias(c) for c in carry], F.lit(True).alias("lead"))
     first = F.row_number().over(Window.partitionBy(*ids).orderBy("key")) == 1
     return one.select(F.struct(*ids).alias("ident"), "key", "value", *[F.col(f"c_{c}").alias(c) for c in carry], first.alias("lead"))
 
 
 def _bin(bins: int):
-    """Number of the bin of ``value`` in the finite range lo..hi; infinities have bins of their own."""
-    part = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    inner = F.least(F.floor(part * bins).cast("int"), F.lit(bins - 1))
+    """Number of the bin of ``value`` in the finite range lo..hi; infinities have bins of their own.
+    Ascending in value, and lo and hi never share a bin unless they are equal."""
+    v, lo, hi = (F.col(c).cast("double") for c in ("value", "lo", "hi"))
+    inner = F.least(F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins).cast("int"), F.lit(bins - 1))
     return (
-        F.when(F.col("value") == float("inf"), F.lit(bins))
-        .when(F.col("value") == float("-inf"), F.lit(-1))
+        F.when(v == float("inf"), F.lit(bins))
+        .when(v == float("-inf"), F.lit(-1))
         .when(F.col("lo") >= F.col("hi"), F.lit(0))
+        .when(lo >= hi, (F.col("value") > F.col("lo")).cast("int"))  # integers that one double stands for
         .otherwise(inner)
     )
 
 
-def exact_quantiles(items: DataFrame, quantiles: Sequence[float], bins: int = 64, scratch: Scratch | None = None) -> DataFrame:
+def select_ranks(rows: DataFrame, ranks: DataFrame, bins: int = 64, scratch: Scratch | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(key, q, value, m): the value of each rank (from 1, ascending) among the rows of its key, and how
+    many of the key's rows have it. rows: key, value, neither null nor NaN; ranks: key, q, rank."""
+    scratch = scratch or Scratch(rows.sparkSession, "ranks")
+    # signed zeros are one value; only doubles have infinities, which no range takes in
+    double = dict(rows.dtypes)["value"] == "double"
+    value = F.col("value") + F.lit(0.0) if double else F.col("value")
+    rows = rows.select("key", value.alias("value"))
+    finite = F.when(F.abs("value") != float("inf"), F.col("value")) if double else F.col("value")
+    zero = F.lit(0).cast(dict(rows.dtypes)["value"])
+    base = scratch.put(rows.groupBy("key").agg(F.coalesce(F.min(finite), zero).alias("lo"), F.coalesce(F.max(finite), zero).alias("hi")))
+    n = base.count()
+    state = scratch.put(ranks.join(base, "key"))
+    live = rows.join(F.broadcast(base), "key") if n <= broadcast_rows else salted_join(rows, base, ["key"], ["value"], scratch)
+    at, done = ["key", "lo", "hi"], []
+    while True:
+        binned = live.withColumn("bin", _bin(bins))
+        # at most bins + 2 rows for each range of a key here, whatever the key holds
+        counted = binned.groupBy(*at, "bin").agg(F.count("*").alias("m"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi"))
+        upto = F.sum("m").over(Window.partitionBy(*at).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        near = counted.withColumn("before", upto - F.col("m")).join(state, at).filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("m")))
+        hit = scratch.put(near.select("key", "lo", "hi", "bin", "b_lo", "b_hi", "m", "q", (F.col("rank") - F.col("before")).alias("rank")))
+        done.append(hit.filter("b_lo = b_hi").select("key", "q", F.col("b_lo").alias("value"), "m"))
+        left = hit.filter("b_lo < b_hi")
+        state = left.select("key", "q", "rank", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
+        kept = scratch.put(left.select(*at, "bin", "b_lo", "b_hi").distinct())
+        n = kept.count()
+        if not n:
+            break
+        on = [*at, "bin"]
+        part = binned.join(F.broadcast(kept), on) if n <= broadcast_rows else salted_join(binned, kept, on, ["value"], scratch)
+        live = scratch.put(part.select("key", "value", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def exact_quantiles(items: DataFrame, quantiles: Sequence[float], bins: int = 64, scratch: Scratch | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Exact lower quantiles of ``value`` for each key: (key, q, quantile).
 
     Quantile q of n values is the value of rank max(1, ceil(q * n)) in ascending order. Null and NaN
     values and rows with a null key do not count; a key without values has no row. Infinite values
     are ordered as numbers. Ties need no care, as equal values share a bin at every width.
     """
-    spark = items.sparkSession
-    scratch = scratch or Scratch(spark, "quantiles")
-    rows = items.select("ident", "key", "value").filter("key is not null and value is not null and not isnan(value)")
-    finite = F.when(F.abs("value") != float("inf"), F.col("value"))
-    base = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
-    ranks = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("n"))).cast("long").alias("rank")) for q in quantiles]))
-    state = base.select("key", "lo", "hi", ranks.alias("r")).select("key", F.col("r.q").alias("q"), F.col("r.rank").alias("rank"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"), F.lit(True).alias("fresh"))
-    state = scratch.put(state)
-    done: list[DataFrame] = []
-    while n := state.count():
-        inside = F.col("fresh") | F.col("value").between(F.col("lo"), F.col("hi"))
-        counted = (
-            _with_state(rows, state, n).filter(inside).withColumn("bin", _bin(bins))
-            .groupBy("key", "q", "rank", "bin").agg(F.count("*").alias("m"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi"))
-        )
-        # at most bins + 2 rows for each (key, q) here, whatever the key holds
-        upto = F.sum("m").over(Window.partitionBy("key", "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        hit = counted.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank")))
-        nxt = scratch.put(hit.select("key", "q", (F.col("rank") - F.col("upto") + F.col("m")).alias("rank"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.lit(False).alias("fresh")))
-        scratch.drop(state)
-        done.append(nxt.filter("lo = hi").select("key", "q", F.col("lo").alias("quantile")))
-        state = nxt.filter("lo < hi")
-    if not done:
-        return spark.createDataFrame([], "key long, q double, quantile double")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = items.select("key", F.col("value").cast("double").alias("value")).filter("key is not null and value is not null and not isnan(value)")
+    n = rows.groupBy("key").agg(F.count("*").alias("n"))
+    asked = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("n"))).cast("long").alias("rank")) for q in quantiles])
+    ranks = n.select("key", F.explode(asked).alias("r")).select("key", "r.q", "r.rank")
+    return select_ranks(rows, ranks, bins, scratch, broadcast_rows).select("key", "q", F.col("value").alias("quantile"))
+
+
+def frequent_keys(df: DataFrame, key: str, item: Sequence[str], least_share: tuple[int, int], *, bins: int = 4096, scratch: Scratch | None = None) -> DataFrame:
+    """(key, n_items): keys that hold at least least_share[0] / least_share[1] of all distinct items.
+
+    Items are distinct by ``item`` (nulls in it are values of their own); rows with a null key count for
+    the total only, an item with several keys counts once in the total and once for each key. With n
+    items a wanted key has at least s = ceil(n * share) of them, so that in the order of keys one of the
+    ranks s, 2s, ... falls into it: these ranks are selected exactly, and the histograms also tell how
+    many items their keys have, by which they are checked. An empty table gives no rows.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "frequent")
+    num, den = least_share
+    items = scratch.put(distinct_items(df, key, item).select("key", "lead"))
+    total, n = items.agg(F.sum(F.col("lead").cast("long")), F.count("key")).first()
+    total, step = int(total or 0), max(1, -(-int(total or 0) * num // den))
+    if n < step:
+        return df.sparkSession.createDataFrame([], "key long, n_items long")
+    zero = F.lit(0).alias("key")
+    ranks = df.sparkSession.range(step, int(n) + 1, step).select(zero, F.col("id").alias("rank"), F.col("id").alias("q"))
+    got = select_ranks(items.filter("key is not null").select(zero, F.col("key").alias("value")), ranks, bins, scratch)
+    return got.select(F.col("value").alias("key"), F.col("m").alias("n_items")).distinct().filter(F.col("n_items") * den >= F.lit(total).cast("long") * num)
 
 
 def key_profile(df: DataFrame, key: str, item: Sequence[str], value: str | None = None, *, extent: Sequence[str] = (), quantiles: Sequence[float] = (0.5,), bins: int = 64) -> tuple[DataFrame, int]:
@@ -115,9 +147,3 @@ def key_profile(df: DataFrame, key: str, item: Sequence[str], value: str | None
         wide = qs.groupBy("key").agg(*[F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(f"q_{round(q * 100)}") for q in quantiles])
         out = out.join(wide, "key", "left")
     return out, int(total)
-
-
-def heavy_keys(profile: DataFrame, total: int, least_share: tuple[int, int]) -> DataFrame:
-    """Keys that hold at least least_share[0] / least_share[1] of all items (exact integers)."""
-    num, den = least_share
-    return profile.filter(F.col("n_items") * den >= F.lit(total).cast("long") * num)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import table
 from tarnflow.operators.hierarchy import ancestor_pairs, latest_by, resolve_hierarchy
-from tarnflow.operators.hotkeys import heavy_keys, key_profile
+from tarnflow.operators.hotkeys import frequent_keys, key_profile
 from tarnflow.operators.snapshots import snapshot_changes
 
 
@@ -42,17 +42,11 @@ def p3_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("grid_id", "change_kind").agg(F.count("*").alias("n_changes"), F.countDistinct("trap").alias("n_traps"))
 
 
-def _profiles(spark: SparkSession, d: str):
-    cells, foot = table(spark, d, "cells"), table(spark, d, "footprint")
-    a = key_profile(cells, "region", ["grid_id", "cell_id"], "z", extent=["i", "j"])
-    b = key_profile(foot, "trap", ["grid_id", "trap", "cell_id"], None, extent=["cell_id"], quantiles=())
-    return a, b
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    (cells, n_cells), (foot, n_foot) = _profiles(spark, d)
-    hot = heavy_keys(cells.filter("key <> 0"), n_cells, (1, 20)).select(F.lit("cells").alias("src_table"), F.col("key").alias("key_id"))
-    return hot.unionByName(heavy_keys(foot, n_foot, (1, 20)).select(F.lit("footprint").alias("src_table"), F.col("key").alias("key_id")))
+    owned = table(spark, d, "cells").withColumn("region", F.when(F.col("region") != 0, F.col("region")))
+    cells = frequent_keys(owned, "region", ["grid_id", "cell_id"], (1, 20))
+    foot = frequent_keys(table(spark, d, "footprint"), "trap", ["grid_id", "trap", "cell_id"], (1, 20))
+    return cells.select(F.lit("cells").alias("src_table"), F.col("key").alias("key_id")).unionByName(foot.select(F.lit("footprint").alias("src_table"), F.col("key").alias("key_id")))
 
 
 def p4_region_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +55,8 @@ def p4_region_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_trap_profile(spark: SparkSession, d: str) -> DataFrame:
-    got, _ = key_profile(table(spark, d, "footprint"), "trap", ["grid_id", "cell_id"], None, extent=["cell_id"], quantiles=())
-    return got.select(F.col("key").alias("trap"), "n_items", "min_cell_id", "max_cell_id")
+    got, _ = key_profile(table(spark, d, "footprint"), "trap", ["grid_id", "cell_id"], "cell_id", extent=["cell_id"], quantiles=(0.5,))
+    return got.select(F.col("key").alias("trap"), "n_items", "min_cell_id", "max_cell_id", F.col("q_50").cast("long").alias("median_cell_id"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_change_counts, p4_found, p4_region_profile, p4_trap_profile)}
@@ -125,5 +119,7 @@ SELECT 'footprint', trap FROM f WHERE trap IS NOT NULL GROUP BY trap HAVING coun
 WITH c AS (SELECT region, grid_id, cell_id, min(z) AS z, min(i) AS i, min(j) AS j FROM cells WHERE region IS NOT NULL GROUP BY 1, 2, 3)
 SELECT region, count(*) AS n_items, count(z) AS n_values, min(z) AS low, max(z) AS high, min(i) AS min_i, max(i) AS max_i, min(j) AS min_j, max(j) AS max_j,
   quantile_disc(z, 0.1) AS q_10, quantile_disc(z, 0.5) AS q_50, quantile_disc(z, 0.9) AS q_90 FROM c GROUP BY region""",
-    "p4_trap_profile": "SELECT trap, count(DISTINCT (grid_id, cell_id)) AS n_items, min(cell_id) AS min_cell_id, max(cell_id) AS max_cell_id FROM footprint WHERE trap IS NOT NULL GROUP BY trap",
+    "p4_trap_profile": """
+WITH f AS (SELECT DISTINCT grid_id, trap, cell_id FROM footprint WHERE trap IS NOT NULL)
+SELECT trap, count(*) AS n_items, min(cell_id) AS min_cell_id, max(cell_id) AS max_cell_id, quantile_disc(cell_id, 0.5) AS median_cell_id FROM f GROUP BY trap""",
 }
