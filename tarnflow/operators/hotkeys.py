@@ -113,14 +113,13 @@ def frequent_keys(df: DataFrame, key: str, item: Sequence[str], least_share: tup
     """
     scratch = scratch or Scratch(df.sparkSession, "frequent")
     num, den = least_share
-    items = scratch.put(distinct_items(df, key, item).select("key", "lead"))
+    items = scratch.put(distinct_items(df, key, item).select("key", "lead", F.lit(0).alias("one")))
     total, n = items.agg(F.sum(F.col("lead").cast("long")), F.count("key")).first()
     total, step = int(total or 0), max(1, -(-int(total or 0) * num // den))
     if n < step:
         return df.sparkSession.createDataFrame([], "key long, n_items long")
-    zero = F.lit(0).alias("key")
-    ranks = df.sparkSession.range(step, int(n) + 1, step).select(zero, F.col("id").alias("rank"), F.col("id").alias("q"))
-    got = select_ranks(items.filter("key is not null").select(zero, F.col("key").alias("value")), ranks, bins, scratch)
+    ranks = scratch.put(df.sparkSession.range(step, int(n) + 1, step).select(F.lit(0).alias("key"), F.col("id").alias("rank"), F.col("id").alias("q")))
+    got = select_ranks(items.filter("key is not null").select(F.col("one").alias("key"), F.col("key").alias("value")), ranks, bins, scratch)
     return got.select(F.col("value").alias("key"), F.col("m").alias("n_items")).distinct().filter(F.col("n_items") * den >= F.lit(total).cast("long") * num)
 
 
