@@ -4,16 +4,17 @@ Tokens are counted with a public tokenizer. The documents of a source are cut, i
 into blocks of about equal tokens, shard by shard; a document that is longer than a block makes a
 block of its own length. Sainte-Lague apportionment (highest quotients
 share / (2k + 1)) gives every source an integer number of seats of ``block_tokens`` and splits it
-over the shards of the source; a source never gets more seats than its documents times their cap
-hold. Within a shard, all blocks are taken once for each full round that the seats pay for, and for
-the rest blocks in the order of a seeded hash, by the tokens that they really hold, to within half a
-block. Nothing but the table of targets and the token counts of a bounded number of shards reaches
-the driver.
+over groups of shards, then over the shards of each group; a source never gets more seats than its
+documents times their cap hold. Within a shard, all blocks are taken once for each full round that the
+seats pay for, and for the rest blocks in the order of a seeded hash, by the tokens that they really
+hold, to within half a block. The driver sees the table of targets and one row for each group, which is
+GROUP_SHARDS * SHARD_BLOCKS blocks of a source: shards do not grow with the corpus.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,19 +27,30 @@ from tarnflow.functions.runtime import Scratch
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Shards of one source; together they bound the table of shard sizes.
-MAX_SHARDS = 1024
-#: Blocks that a shard is planned to hold.
-SHARD_BLOCKS = 64
+#: Blocks that a shard is planned to hold, at least, and shards of a group.
+SHARD_BLOCKS, GROUP_SHARDS = 64, 1024
+#: A shard holds so many mean documents for each of its blocks, so that half a document is little of it.
+BLOCK_DOCS = 4
 
 _encoders: dict[str, object] = {}
 
 
+def _local(path: str) -> str:
+    """The vocabulary as the session has sent it to this worker, else the path itself."""
+    from pyspark import SparkFiles
+
+    try:
+        sent = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no session here
+        return path
+    return sent if os.path.exists(sent) else path
+
+
 def _encoder(path: str):
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(_local(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
@@ -47,6 +59,9 @@ def _encoder(path: str):
 def with_token_counts(docs: DataFrame, text_col: str, vocabulary: str = DEFAULT_VOCABULARY, out: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens of the whole text; a null or empty text has 0."""
 
+    if os.path.exists(vocabulary):
+        docs.sparkSession.sparkContext.addFile(vocabulary)
+
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         enc = _encoder(vocabulary).encode_ordinary
@@ -99,14 +114,16 @@ def plan_mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", tex
 
     targets: source, target_share, max_repeats (a null share or cap counts as 0; of repeated rows of
     a source the greatest values hold). The mix aims at as many tokens as ``docs`` holds in all,
-    documents without a source or of other sources included; seats that a short source leaves empty
-    are not given to others, so that no source exceeds its share by more than half a block a shard. Documents with a null id can't be
+    documents without a source or of other sources included (``aim_tokens``); seats that a short source
+    leaves empty are not given to others, so that every other source has its share of the aim, and of the
+    smaller mix a little more than that. Documents with a null id can't be
     used but count for the total; documents without tokens are never used.
 
     Documents: id, source, n_tokens, times (1 to max_repeats). Report: source (as in targets),
-    target_share, max_repeats, available_tokens, target_tokens, quota_blocks, mixed_tokens,
-    actual_share (of all mixed tokens), short (the cap times the available tokens is less than the
-    target).
+    target_share, max_repeats, available_tokens, target_tokens, asked_blocks (seats without the caps),
+    quota_blocks (with them), mixed_tokens, aim_tokens, share_of_aim (mixed / aim), actual_share (of all mixed
+    tokens), short (the cap times the available tokens is less than the target; only sources whose cap
+    takes seats from them, or nearly does, are compared).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -115,13 +132,13 @@ def plan_mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", tex
     names = spark.createDataFrame([(r["t_source"],) for r in asked], "t_source string").withColumn("s_key", clean_source("t_source"))
     counted = with_token_counts(docs.select(F.col(id_col).alias("id"), clean_source(F.col(source_col)).alias("s_key"), F.col(text_col).alias("body")), "body", vocabulary)
     base = scratch.put(counted.select("id", "s_key", "n_tokens").join(F.broadcast(names), "s_key", "left").select("id", "t_source", "n_tokens"))
-    sums = {r["t_source"]: (int(r["n"] or 0), int(r["u"] or 0), int(r["m"] or 0)) for r in base.groupBy("t_source").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("id").isNotNull(), F.col("n_tokens"))).alias("u"), F.max("n_tokens").alias("m")).collect()}
+    sums = {r["t_source"]: (int(r["n"] or 0), int(r["u"] or 0), int(r["m"] or 0)) for r in base.groupBy("t_source").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("id").isNotNull(), F.col("n_tokens"))).alias("u"), F.count(F.when(F.col("id").isNotNull() & (F.col("n_tokens") > 0), 1)).alias("m")).collect()}
     total = sum(n for n, _, _ in sums.values())
     seats = total // block_tokens
     none = (0, 0, 0)
     usable = [sums.get(r["t_source"], none)[1] for r in asked]
-    # a shard holds SHARD_BLOCKS of the longest document too, so that half a block is little of it
-    shards = [max(1, min(MAX_SHARDS, -(-u // (SHARD_BLOCKS * max(block_tokens, sums.get(r["t_source"], none)[2]))))) for r, u in zip(asked, usable, strict=True)]
+    mean = [u / max(1, sums.get(r["t_source"], none)[2]) for r, u in zip(asked, usable, strict=True)]
+    shards = [max(1, int(-(-u // (SHARD_BLOCKS * max(block_tokens, BLOCK_DOCS * m))))) for u, m in zip(usable, mean, strict=True)]
     cut = spark.createDataFrame([(r["t_source"], n) for r, n in zip(asked, shards, strict=True)], "t_source string, n_shards long")
     placed = base.filter("t_source is not null and id is not null and n_tokens > 0").join(F.broadcast(cut), "t_source")
     key = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
@@ -129,29 +146,47 @@ def plan_mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", tex
     upto = F.sum("n_tokens").over(Window.partitionBy("t_source", "shard").orderBy("at", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     placed = scratch.put(placed.withColumn("block", F.floor((upto - F.col("n_tokens")) / block_tokens).cast("long")).drop("n_shards", "at"))
     blocks = placed.groupBy("t_source", "shard", "block").agg(F.sum("n_tokens").alias("held"))
-    per = blocks.groupBy("t_source", "shard").agg(F.sum("held").alias("held")).orderBy("t_source", "shard").collect()
+    per = scratch.put(blocks.groupBy("t_source", "shard").agg(F.sum("held").alias("held")).withColumn("part", F.floor(F.col("shard") / GROUP_SHARDS)))
     by: dict[str, list] = {}
-    for r in per:
+    for r in per.groupBy("t_source", "part").agg(F.sum("held").alias("held")).orderBy("t_source", "part").collect():
         by.setdefault(r["t_source"], []).append(r)
     caps = [-(-u * int(a["cap"]) // block_tokens) for a, u in zip(asked, usable, strict=True)]
-    quota = sainte_lague([float(a["share"]) for a in asked], int(seats * min(1.0, sum(float(a["share"]) for a in asked))) if asked else 0, caps, redistribute=False)
+    shares = [float(a["share"]) for a in asked]
+    open_seats = int(seats * min(1.0, sum(shares)))
+    wanted = sainte_lague(shares, open_seats)
+    quota = np.minimum(wanted, np.array(caps, dtype=np.int64))
     rows = []
     for a, q in zip(asked, quota, strict=True):
         own = by.get(a["t_source"], [])
         n = [int(r["held"]) for r in own]
-        for r, x, k in zip(own, n, sainte_lague(n, int(q), [-(-x * int(a["cap"]) // block_tokens) for x in n]), strict=True):
-            rounds, rest = divmod(min(int(k) * block_tokens, x * int(a["cap"])), x)
-            rows.append((a["t_source"], r["shard"], rounds, rest))
-    quotas = spark.createDataFrame(rows, "t_source string, shard long, rounds long, rest long")
+        got = sainte_lague(n, int(q), [-(-x * int(a["cap"]) // block_tokens) for x in n])
+        rows += [(a["t_source"], int(r["part"]), int(k), int(a["cap"])) for r, k in zip(own, got, strict=True)]
+    groups = spark.createDataFrame(rows, "t_source string, part long, seats long, cap long")
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Seats of a group over its shards: full rounds and the tokens of the rest."""
+        pdf = pdf.sort_values("shard", ignore_index=True)
+        held, cap = pdf["held"].to_numpy(), int(pdf["cap"].iloc[0])
+        got = sainte_lague(held, int(pdf["seats"].iloc[0]), -(-held * cap // block_tokens))
+        rounds, rest = np.divmod(np.minimum(got * block_tokens, held * cap), held)
+        return pd.DataFrame({"t_source": pdf["t_source"], "shard": pdf["shard"], "rounds": rounds, "rest": rest})
+
+    quotas = scratch.put(per.join(F.broadcast(groups), ["t_source", "part"]).groupBy("t_source", "part").applyInPandas(split, "t_source string, shard long, rounds long, rest long"))
     upto = F.sum("held").over(Window.partitionBy("t_source", "shard").orderBy(F.xxhash64("block", "shard", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = blocks.join(F.broadcast(quotas), ["t_source", "shard"]).withColumn("upto", upto)
+    chosen = blocks.join(quotas, ["t_source", "shard"]).withColumn("upto", upto)
     times = F.col("rounds") + (F.col("upto") - F.col("held") / 2 < F.col("rest")).cast("long")
     used = placed.join(chosen.select("t_source", "shard", "block", times.alias("times")).filter("times > 0"), ["t_source", "shard", "block"])
     used = scratch.put(used.select("id", "t_source", "n_tokens", "times"))
     mixed = used.groupBy("t_source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("mixed_tokens"))
-    plan = [(a["t_source"], float(a["share"]), int(a["cap"]), sums.get(a["t_source"], none)[0], float(a["share"]) * total, int(q), int(a["cap"]) * sums.get(a["t_source"], none)[0] < float(a["share"]) * total) for a, q in zip(asked, quota, strict=True)]
-    report = spark.createDataFrame(plan, "source string, target_share double, max_repeats long, available_tokens long, target_tokens double, quota_blocks long, short boolean")
+    plan = []
+    for a, w, q, c in zip(asked, wanted, quota, caps, strict=True):
+        have, target = sums.get(a["t_source"], none)[0], float(a["share"]) * total
+        near = c <= w + len(asked) + 1  # seats differ from the exact share by rounding
+        plan.append((a["t_source"], float(a["share"]), int(a["cap"]), have, target, int(w), int(q), total, bool(near and int(a["cap"]) * have < target)))
+    report = spark.createDataFrame(plan, "source string, target_share double, max_repeats long, available_tokens long, target_tokens double, asked_blocks long, quota_blocks long, aim_tokens long, short boolean")
     report = report.join(mixed.withColumnRenamed("t_source", "source"), "source", "left").fillna(0, ["mixed_tokens"])
     whole = mixed.agg(F.sum("mixed_tokens").alias("mix_total"))
+    report = report.withColumn("share_of_aim", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("aim_tokens")), F.lit(0.0)))
+    # one row
     report = report.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("mix_total")), F.lit(0.0)))
     return used.select(F.col("id").alias(id_col), F.col("t_source").alias(source_col), "n_tokens", "times"), report.drop("mix_total")

@@ -103,7 +103,13 @@ reach(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON
 res AS (SELECT u AS region, min(v) AS group_id FROM reach GROUP BY u)
 """
 
+# any tokenizer gives the same list, so bytes stand for tokens
+_SHORT = """
+WITH s AS (SELECT lower(regexp_replace(source, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')) AS k, CAST(strlen(text) AS DOUBLE) AS n FROM documents)
+SELECT m.source FROM mix_target m WHERE m.max_repeats * coalesce((SELECT sum(n) FROM s WHERE s.k = lower(trim(m.source))), 0) < m.target_share * (SELECT sum(n) FROM s)"""
+
 ORACLES = {
+    "p7_found": _SHORT,
     "p2_found": _RANGES + "SELECT domain_id, axis, CASE WHEN bool_or(kind = 'forced') THEN 'forced' ELSE 'clean' END AS cut_kind FROM run GROUP BY 1, 2",
     "p2_pieces": _RANGES + "SELECT domain_id, axis, CAST(piece AS BIGINT) AS piece, s AS lo, CASE WHEN kind = 'last' THEN hi ELSE cut - 1 END AS hi, kind AS cut_kind FROM run",
     "p5_found": _LINKS + "SELECT region, group_id FROM res",

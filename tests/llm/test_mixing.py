@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tarnflow.llm import mixing
 from tarnflow.llm.mixing import DEFAULT_VOCABULARY, plan_mix, sainte_lague
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DEFAULT_VOCABULARY), reason="no vocabulary here")
@@ -72,3 +73,19 @@ def test_documents_longer_than_a_block(spark):
     for r in report.collect():
         assert abs(r["mixed_tokens"] - r["target_tokens"]) <= 1600, r
     assert all(1 <= r["times"] <= 3 for r in used.collect())
+
+
+def test_many_shards_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 16)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    rnd = random.Random(3)
+    docs = [(k, "rain " * rnd.randrange(1, 60), rnd.choice("aab")) for k in range(3000)] + [(9000 + k, "pond " * 40, "c") for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.4, 3), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    used, report = plan_mix(df, targets, block_tokens=128)
+    rep = {r["source"]: r for r in report.collect()}
+    assert [k for k in rep if rep[k]["short"]] == ["c"] and rep["c"]["quota_blocks"] < rep["c"]["asked_blocks"]
+    assert abs(rep["a"]["share_of_aim"] - 0.3) < 0.006 and abs(rep["b"]["share_of_aim"] - 0.4) < 0.006
+    assert rep["c"]["mixed_tokens"] == 2 * rep["c"]["available_tokens"]
+    rows = used.collect()
+    assert all(1 <= r["times"] <= {"a": 2, "b": 3, "c": 2}[r["source"]] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
