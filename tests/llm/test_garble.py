@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tarnflow.llm.garble import find_garbled, readings, restore_texts
+from tarnflow.llm import garble
+from tarnflow.llm.garble import CODE_PAGES, find_garbled, readings, restore_texts
 
 CLEAN = {
     "de": "Die größte Höhe über der Fläche wächst während der Übergangszeit, später fällt die Böschung für größere Störungen.",
@@ -89,3 +90,42 @@ def test_one_page_for_a_large_source(spark):
     assert {r["doc_id"] for r in find_garbled(df).collect()} == bad
     out = {r["doc_id"]: r["restored_text"] for r in restore_texts(df).collect()}
     assert out == {k: t for k, t in docs if k in bad}
+
+
+@pytest.mark.parametrize("written,read", [("latin-1", "cp1253"), ("utf-8", "cp1257")])
+def test_a_swap_that_is_on_no_list_is_learned_by_source(spark, written, read):
+    assert read not in CODE_PAGES
+    docs = [(k, t) for k, lang, t in corpus(300) if lang in ("de", "fr")]
+    bad = {k for k, _ in docs if k % 6 == 1}
+    rows = [(k, "odd" if k in bad or k % 6 == 2 else f"other{k % 4}", misread(t, written, read) if k in bad else t) for k, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == bad
+    out = {r["doc_id"]: r["restored_text"] for r in restore_texts(df).collect()}
+    true = dict(docs)
+    words = [(x, y) for k in bad for x, y in zip(out[k].split(), true[k].split(), strict=True) if not y.isascii()]
+    # a letter that is seen in one word only can be taken for another
+    assert sum(x == y for x, y in words) > 0.9 * len(words)
+
+
+def test_rare_symbols_that_belong_to_the_text(spark):
+    docs = [(k, t) for k, lang, t in corpus(200)]
+    docs += [(500 + k, f"the angle α{k} and β, x ≥ γ, ∀δ ∈ Ω; {t}") for k, t in docs[:6]]
+    assert find_garbled(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+def test_both_sides_of_the_size_switch_agree(spark, monkeypatch):
+    docs = [(k, t if k % 7 else misread(t, "utf-8", ("cp1252", "cp850", "cp1251")[k % 3])) for k, _, t in corpus(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    a = {r["doc_id"] for r in find_garbled(df).collect()}
+    monkeypatch.setattr(garble, "BROADCAST_ROWS", -1)
+    assert {r["doc_id"] for r in find_garbled(df).collect()} == a == {k for k, _ in docs if k % 7 == 0}
+
+
+def test_four_kinds_of_damage_in_one_text(spark):
+    clean = corpus(150)
+    t = next(t for _, lang, t in clean if lang == "de")
+    lines = t.split("\n")
+    bad = [misread(x, "utf-8", p) for x, p in zip(lines, ("cp1252", "cp850", "cp1251", "mac_roman"), strict=False)] + lines[4:]
+    df = spark.createDataFrame([(k, t) for k, _, t in clean] + [(900, "\n".join(bad))], "doc_id long, text string")
+    out = restore_texts(df).collect()
+    assert [r["doc_id"] for r in out] == [900] and out[0]["restored_text"] == t and len(out[0]["swaps"]) == 4
