@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.runtime import Scratch
+from tarnflow.functions.runtime import Scratch, salted_join
 
 #: Edges up to which components are labelled in one task; they are counted first.
 KERNEL_EDGES = 1_000_000
@@ -56,8 +56,8 @@ def minimum_labels(edges: DataFrame, scratch: Scratch | None = None, *, kernel_e
 
     Each round links the greater neighbours of a vertex, then the lesser ones, to the least of its
     neighbourhood. That halves chains and keeps components connected, so rounds grow with the
-    logarithm of the longest chain. Minima are combined map-side and come back through a join with
-    one row a vertex on its other side, so the edges of a hub are never grouped into one task. At most
+    logarithm of the longest chain. Minima are combined map-side and come back through a join that is
+    salted where a vertex has a large share of the edges, so the edges of a hub are never in one task. At most
     ``kernel_edges`` edges are labelled in one task instead.
     """
     scratch = scratch or Scratch(edges.sparkSession, "labels")
@@ -68,10 +68,10 @@ def minimum_labels(edges: DataFrame, scratch: Scratch | None = None, *, kernel_e
     while last[0]:
         both = symmetric(state)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        up = salted_join(both.filter("v > u"), low, ["u"], ["v"], scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.put(up)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        down = salted_join(large, low, ["u"], ["v"], scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = scratch.put(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(state, large)
         now, state = _fingerprint(small), small

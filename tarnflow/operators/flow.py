@@ -110,6 +110,9 @@ def watercourses(ts: TrapStructure, full_traps: DataFrame | Sequence[int] = (),
     """
     spark = ts.traps.sparkSession
     scratch = Scratch(spark, "watercourses")
+    dry = not isinstance(infiltration, DataFrame) and not infiltration
+    if dry and not isinstance(full_traps, DataFrame) and not len(full_traps) and not isinstance(precipitation, DataFrame) and precipitation >= 0:
+        return _dry_watercourses(ts, precipitation, scratch)
     r = scratch.put(rates(ts, precip=precipitation, infil=infiltration))
     cells, traps = basin_frames(ts, r)
     full = full_traps.select("trap").distinct() if isinstance(full_traps, DataFrame) else spark.createDataFrame([(int(t),) for t in full_traps], "trap long").distinct()
@@ -138,6 +141,18 @@ def watercourses(ts: TrapStructure, full_traps: DataFrame | Sequence[int] = (),
     return runoff, accum, r.agg(F.sum("precip").alias("precipitation")).crossJoin(sums)
 
 
+def _dry_watercourses(ts: TrapStructure, precipitation: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``watercourses`` where nothing seeps away or spills over: sums along the flow, of any basin size."""
+    r = scratch.put(rates(ts, precip=precipitation))
+    runoff = scratch.put(accumulate_flow(ts.field, ts.raster, r).withColumnRenamed("total", "runoff"))
+    inner = flow_edges(ts.field, ts.raster).select("cell_id")
+    ends = scratch.put(ts.regions.select("cell_id", "region").join(inner, "cell_id", "left_anti").join(runoff, "cell_id").groupBy("region").agg(F.sum("runoff").alias("region_accum")))
+    accum = ends.filter("region > 0")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("region_accum"))), F.lit(0.0))
+    sums = ends.agg(total(F.col("region") > 0).alias("region_accum"), total(F.col("region") <= 0).alias("offregion_runoff"), F.lit(0.0).alias("used_infiltration"))
+    return runoff, accum, r.agg(F.sum("precip").alias("precipitation")).crossJoin(sums)  # one row by one row
+
+
 # ---------------------------------------------------------------------- reachability
 
 

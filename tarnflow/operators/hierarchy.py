@@ -5,7 +5,8 @@ and depth, the others double their stride. Round k thereby reaches the whole ban
 [2^k, 2^(k+1)) below the roots, so a tree of depth d needs log2(d) joins and not d. A round that
 reaches nothing proves that only loops and the branches into them are left (the levels of a tree
 have no gap); the nodes that the doubled map still hits are then the loops. The nodes left over at that
-point are counted; few enough of them are taken apart in one task, more of them by the same joins.
+point are counted; the loops among few enough of them are found in one task (three numbers a node, no
+paths), those among more of them by joins. Paths are always made by the joins.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _loops(links: DataFrame, scratch: Scratch) -> DataFrame:
         hit = n
 
 
-def _take_apart(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
+def _take_apart(pdf: pd.DataFrame) -> pd.DataFrame:
     """Loops and the branches into them, of nodes (node, parent) that never meet a root."""
     ids = np.sort(pdf["node"].to_numpy())
     order = np.argsort(pdf["node"].to_numpy())
@@ -86,15 +87,7 @@ def _take_apart(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
     to, steps = np.where(on, np.arange(len(ids)), step), np.where(on, 0, 1)
     while not on[to].all():
         steps, to = steps + steps[to], to[to]
-    paths = [[] for _ in ids]
-    if with_path:
-        for k in range(len(ids)):
-            c, path = k, [int(ids[k])]
-            while not on[c]:
-                c = step[c]
-                path.append(int(ids[c]))
-            paths[k] = path
-    return pd.DataFrame({"node": ids, "root": ids[low[to]], "steps": steps, "path": paths, "outcome": np.where(on, CYCLE, INTO_CYCLE)})
+    return pd.DataFrame({"node": ids, "root": ids[low[to]], "steps": steps, "outcome": np.where(on, CYCLE, INTO_CYCLE)})
 
 
 def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", *, with_path: bool = False, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
@@ -119,12 +112,13 @@ def resolve_hierarchy(links: DataFrame, node: str = "node", parent: str = "paren
     start = inner.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("steps"), path.alias("path"))
     done, left, n = _reach(start, roots, scratch)
     parts = [p.withColumn("outcome", F.lit(TREE)) for p in done]
-    if 0 < n <= kernel_rows:
+    if n:
         bare = inner.join(left.select("node"), "node", "left_semi")
-        parts.append(scratch.put(bare.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: _take_apart(p, with_path), "node long, root long, steps long, path array<long>, outcome string")))
+        apart = scratch.put(bare.groupBy(F.lit(0).alias("all")).applyInPandas(_take_apart, "node long, root long, steps long, outcome string")) if n <= kernel_rows else None
+    if n and apart is not None and not with_path:
+        parts.append(apart.select("node", "root", "steps", path.alias("path"), "outcome"))
     elif n:
-        bare = inner.join(left.select("node"), "node", "left_semi")
-        loops = _loops(bare, scratch)
+        loops = _loops(bare, scratch) if apart is None else apart.filter(F.col("outcome") == CYCLE).select("node", F.col("root").alias("low"))
         on = loops.select("node", F.col("low").alias("root"), F.lit(0).cast("long").alias("steps"), path.alias("path"))
         parts.append(on.withColumn("outcome", F.lit(CYCLE)))
         off = bare.join(loops.select("node"), "node", "left_anti")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.functions.runtime import Scratch, broadcast_if_small
+from tarnflow.functions.runtime import BROADCAST_ROWS, Scratch, broadcast_if_small, salted_join
 from tarnflow.operators.components import dense_numbers
 from tarnflow.operators.field import spill_field
 from tarnflow.operators.hierarchy import resolve_hierarchy
@@ -168,22 +168,28 @@ def trap_regions(traps: DataFrame, *, kernel_rows: int = KERNEL_ROWS) -> DataFra
     return paths.join(low, "node", "left_semi").select(F.explode("path").alias("trap"), F.col("node").alias("region"))
 
 
-def trap_volumes(regions: DataFrame, traps: DataFrame, members: DataFrame) -> DataFrame:
+def _with_levels(cells: DataFrame, traps: DataFrame, members: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Cells (region, ...) with every trap of their region and its elevation. A region may hold a large
+    share of all cells: its levels are sent to them, or the join is salted."""
+    levels = members.join(traps.select("trap", "elevation"), "trap").select("trap", "region", "elevation")
+    n = members.count()
+    return cells.join(F.broadcast(levels), "region") if n <= broadcast_rows else salted_join(cells, levels, ["region"], ["cell_id"], Scratch(cells.sparkSession, "levels"))
+
+
+def trap_volumes(regions: DataFrame, traps: DataFrame, members: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(trap, volume): sum of elevation - z over the cells of the trap's regions below its spill level.
 
     Not multiplied by a cell's area. A trap that nothing bounds has infinite volume, one without
     cells below its level 0.
     """
-    levels = members.join(traps.select("trap", "elevation"), "trap").select("trap", "region", "elevation")
-    wet = regions.filter("region > 0").select("region", "z").join(levels, "region").filter("z < elevation")
+    wet = _with_levels(regions.filter("region > 0").select("region", "cell_id", "z"), traps, members, broadcast_rows).filter("z < elevation")
     sums = wet.groupBy("trap").agg(F.sum(F.col("elevation") - F.col("z")).alias("volume"))
     return traps.select("trap").join(sums, "trap", "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
-def trap_footprints(regions: DataFrame, traps: DataFrame, members: DataFrame) -> DataFrame:
+def trap_footprints(regions: DataFrame, traps: DataFrame, members: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(trap, cell_id): cells of the trap's regions at or below its spill level."""
-    levels = members.join(traps.select("trap", "elevation"), "trap").select("trap", "region", "elevation")
-    return regions.filter("region > 0").select("region", "cell_id", "z").join(levels, "region").filter("z <= elevation").select("trap", "cell_id")
+    return _with_levels(regions.filter("region > 0").select("region", "cell_id", "z"), traps, members, broadcast_rows).filter("z <= elevation").select("trap", "cell_id")
 
 
 def sub_volumes(traps: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -212,6 +212,7 @@ _TILE = "list_filter(range(0, {n}), lambda k: {c} >= 1 + (dim.n * k) // {n})[-1]
 ORACLES = {
     "dem_cells": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     "grid_roundtrip": _sql("", "SELECT cell_id, i, j, z FROM dem"),
+    "grid_scan": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     "tile_stats": _sql("", f"SELECT CAST({_TILE.format(n=4, c='i')} + 4 * {_TILE.format(n=3, c='j')} + 1 AS INT) AS tile, count(*) AS n, min(z) AS low, max(z) AS high FROM dem CROSS JOIN dim GROUP BY 1"),
     "spillfield_d8": _sql(_field(), _DIRS),
     "spillfield_d4": _sql(_field(diagonals=False), _DIRS),

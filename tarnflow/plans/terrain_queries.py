@@ -81,6 +81,15 @@ def grid_roundtrip(spark, d):
     return grid.load_grid_parts(spark, path).cells
 
 
+@query
+def grid_scan(spark, d):
+    """Lines without numbers, written in several files and read in parallel splits."""
+    r = _raster(spark, d)
+    path = f"{shared_dir(spark)}/scan-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    grid.save_grid(r, path)
+    return grid.load_grid(spark, path).cells
+
+
 @query
 def tile_stats(spark, d):
     r = _raster(spark, d)

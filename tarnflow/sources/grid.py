@@ -10,9 +10,11 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnflow.functions.runtime import Scratch, broadcast_if_small
+
 
 @dataclass(frozen=True)
 class Domain:
@@ -70,11 +72,19 @@ def raster_from_cells(df: DataFrame, nrows: int, ncols: int, len_x: float | None
 def load_grid(spark: SparkSession, path: str, delim: str = ",") -> Raster:
     """Reads a headerless delimited text grid: line = i, field = j. Bad numbers and ragged lines raise.
 
-    The file is read as one value so that line numbers are exact; blank lines at the end are dropped.
+    Large files are read in parallel splits: a line's number is its place in its split plus the lines of
+    the splits before it. Several files follow each other by name; blank lines at the end are dropped.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\s+\z", "").alias("v"))
-    lines = whole.select(F.posexplode(F.split("v", r"\r?\n")).alias("i", "line"))
-    fields = lines.select((F.col("i") + 1).cast("long").alias("i"), F.split("line", "\\Q" + delim + "\\E").alias("f"))
+    scratch = Scratch(spark, "grid")
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    text = scratch.put(text)  # ids of a split are consecutive; they are fixed here
+    splits = text.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    # one row a split
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = scratch.put(splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before")))
+    lines = text.join(broadcast_if_small(splits, splits.count()), ["file", "start"]).select((F.col("id") - F.col("first") + F.col("before") + 1).alias("i"), F.col("value").alias("line"))
+    last = lines.filter("trim(line) <> ''").agg(F.max("i")).first()[0] or 0
+    fields = lines.filter(F.col("i") <= last).select(F.col("i").cast("long").alias("i"), F.split("line", "\\Q" + delim + "\\E").alias("f"))
     shape = fields.agg(F.max("i"), F.min(F.size("f")), F.max(F.size("f"))).first()
     if shape[1] != shape[2]:
         raise ValueError(f"lines of {path} have {shape[1]} to {shape[2]} fields")

@@ -30,6 +30,15 @@ def got(df):
     return {r["node"]: (r["root"], r["steps"], r["outcome"]) for r in df.collect()}
 
 
+@pytest.mark.parametrize("kernel_rows", [0, 10**6])
+def test_paths_into_loops(spark, kernel_rows):
+    links = [(k, k + 1) for k in range(40)] + [(40, 41), (41, 42), (42, 40), (50, 50), (51, 50), (60, None), (61, 60)]
+    rows = resolve_hierarchy(spark.createDataFrame(links, "node long, parent long"), with_path=True, kernel_rows=kernel_rows).collect()
+    path = {r["node"]: r["path"] for r in rows}
+    assert {r["node"]: (r["root"], r["steps"], r["outcome"]) for r in rows} == brute(links)
+    assert path[0] == list(range(41)) and path[41] == [41] and path[51] == [51, 50] and path[61] == [61, 60]
+
+
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("kernel_rows", [0, 10**6])
 def test_random_graphs(spark, seed, kernel_rows):
