@@ -108,7 +108,20 @@ _SHORT = """
 WITH s AS (SELECT lower(regexp_replace(source, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')) AS k, CAST(strlen(text) AS DOUBLE) AS n FROM documents)
 SELECT m.source FROM mix_target m WHERE m.max_repeats * coalesce((SELECT sum(n) FROM s WHERE s.k = lower(trim(m.source))), 0) < m.target_share * (SELECT sum(n) FROM s)"""
 
+# the markup that the documents have, and every window of twelve words
+_LEAKS = r"""
+WITH src AS (SELECT 'd' AS side, doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM eval_item WHERE text IS NOT NULL),
+a AS (SELECT side, id, strip_accents(translate(replace(replace(replace(replace(replace(t, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279), '')) AS t FROM src),
+b AS (SELECT side, id, regexp_replace(regexp_replace(t, '([A-Za-z0-9])%\n[ \t]*', '\1', 'g'), '(?m)^[ \t]*%+', ' ', 'g') AS t FROM a),
+c AS (SELECT side, id, regexp_replace(regexp_replace(t, '\\[-/]', '', 'g'), '\\(begin|end|cite[a-z]*|eqref|ref|pageref|autoref|label|index|vspace|hspace|includegraphics|input|include|textcolor|color|fontsize|href|url|footnotemark)\*?(\[[^\]\n]*\])*\{[^{}\n]*\}', ' ', 'g') AS t FROM b),
+d AS (SELECT side, id, regexp_replace(regexp_replace(t, '\\[''"`^~=.]\s*\{?\\?([A-Za-z])\}?', '\1', 'g'), '\\[uvHcdbkrt](?:\s+|\{)\\?([A-Za-z])\}', '\1', 'g') AS t FROM c),
+e AS (SELECT side, id, regexp_replace(regexp_replace(t, '\\(ss|ae|AE|oe|OE|o|O|l|L|i|j)(\{\}| |\b)', '\1', 'g'), '\\[,;:!> \n\\]|~', ' ', 'g') AS t FROM d),
+f AS (SELECT side, id, regexp_extract_all(lower(replace(replace(regexp_replace(t, '\\[A-Za-z@]+\*?', '', 'g'), '{', ''), '}', '')), '[\pL\pN]+') AS w FROM e),
+g AS (SELECT DISTINCT side, id, array_to_string(w[k:k + 11], ' ') AS run FROM f, unnest(range(1, len(w) - 10)) AS u(k))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (run) WHERE d.side = 'd' AND i.side = 'i'"""
+
 ORACLES = {
+    "p6_found": _LEAKS,
     "p7_found": _SHORT,
     "p2_found": _RANGES + "SELECT domain_id, axis, CASE WHEN bool_or(kind = 'forced') THEN 'forced' ELSE 'clean' END AS cut_kind FROM run GROUP BY 1, 2",
     "p2_pieces": _RANGES + "SELECT domain_id, axis, CAST(piece AS BIGINT) AS piece, s AS lo, CASE WHEN kind = 'last' THEN hi ELSE cut - 1 END AS hi, kind AS cut_kind FROM run",

@@ -18,12 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text levels, from the highest to the lowest: a cut is where a match ends or, for sections, begins.
-SECTION = re.compile(r"^(?=\\(?:part|chapter|section|subsection|subsubsection|bibliography)\b|#{1,6} )", re.M)
+SECTION = re.compile(r"^(?=\\(?:part|chapter|section|subsection|subsubsection|bibliography)\b|#{1,6} |<(?:section|article|h[1-6])\b)", re.M)
 PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
 SENTENCE = re.compile(r"[.!?…]+[\"')\]}”’]*\s+|[。！？]")
 WORD = re.compile(r"\s+")
 
 
+#: Pieces, and characters in them, that a worker holds before it hands them on.
+CHUNK_PIECES, CHUNK_CHARACTERS = 20_000, 16_000_000
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], text: int | None = None) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded size; ``text`` is the place of a text column."""
+    out, n = [], 0
+    for r in rows:
+        out.append(r)
+        n += len(r[text]) if text is not None else 0
+        if len(out) >= CHUNK_PIECES or n >= CHUNK_CHARACTERS:
+            yield pd.DataFrame(out, columns=columns)
+            out, n = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def _best_cut(levels: Sequence[Sequence[int]], depth: int, after: int, upto: int) -> tuple[int, int]:
     """The last cut in (after, upto] of the highest level that has one: (position, level)."""
     if depth == len(levels):
@@ -92,16 +109,15 @@ def split_ranges(items: DataFrame, lines: DataFrame) -> DataFrame:
     per = lines.filter("pos is not null").groupBy("grid_id", "axis").agg(F.array_sort(F.collect_set("pos")).alias("cuts"))
     joined = long.join(per, ["grid_id", "axis"], "left").select("domain_id", "axis", "lo", "hi", "max_len", "overlap_len", "cuts")
 
-    def run(batches):
+    def pieces(batches):
         for pdf in batches:
-            out = []
             for r in pdf.itertuples(index=False):
                 cuts = [] if r.cuts is None else list(map(int, r.cuts))
                 for k, (a, b, level) in enumerate(pack(int(r.lo), int(r.hi), int(r.max_len), int(r.overlap_len), [cuts])):
-                    out.append((r.domain_id, r.axis, k + 1, a, b, ("line", "forced")[level] if level >= 0 else "last"))
-            yield pd.DataFrame(out, columns=["domain_id", "axis", "piece", "lo", "hi", "cut_kind"])
+                    yield r.domain_id, r.axis, k + 1, a, b, ("line", "forced")[level] if level >= 0 else "last"
 
-    return joined.mapInPandas(run, "domain_id long, axis string, piece long, lo long, hi long, cut_kind string")
+    columns = ["domain_id", "axis", "piece", "lo", "hi", "cut_kind"]
+    return joined.mapInPandas(lambda b: _frames(pieces(b), columns), "domain_id long, axis string, piece long, lo long, hi long, cut_kind string")
 
 
 def cut_kinds(pieces: DataFrame) -> DataFrame:
@@ -127,17 +143,16 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap
     Leaving out the shared characters, the pieces of a text joined together are the text.
     """
 
-    def run(batches):
+    def pieces(batches):
         for pdf in batches:
-            out = []
             for key, text in zip(pdf["k"], pdf["t"], strict=True):
                 if text is None or text == "":
                     continue
                 levels = text_levels(text) if len(text) > limit else []
                 for k, (a, b, level) in enumerate(pack(0, len(text) - 1, limit, overlap, levels)):
-                    out.append((key, k + 1, a, text[a : b + 1], LEVEL_NAMES[level] if level >= 0 else "end"))
-            yield pd.DataFrame(out, columns=["k", "piece", "start", "piece_text", "cut_kind"])
+                    yield key, k + 1, a, text[a : b + 1], LEVEL_NAMES[level] if level >= 0 else "end"
 
+    columns = ["k", "piece", "start", "piece_text", "cut_kind"]
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, piece long, start long, piece_text string, cut_kind string").withColumnRenamed("k", id_col)
+    return rows.mapInPandas(lambda b: _frames(pieces(b), columns, 3), f"k {kind}, piece long, start long, piece_text string, cut_kind string").withColumnRenamed("k", id_col)

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tarnflow.llm import splitting
 from tarnflow.llm.splitting import LEVEL_NAMES, cut_kinds, pack, range_items, split_ranges, split_texts, text_levels
 
 
@@ -79,3 +80,13 @@ def test_higher_levels_come_first():
     assert [level for *_, level in pack(0, len(text) - 1, 30, 0, text_levels(text))][0] == 0
     with pytest.raises(ValueError):
         list(pack(1, 9, 0, 0, []))
+
+
+def test_pieces_leave_the_worker_in_bounded_frames(spark, monkeypatch):
+    rows = [("a" * n,) for n in (3, 5, 9, 1, 1)]
+    monkeypatch.setattr(splitting, "CHUNK_PIECES", 2)
+    assert [len(f) for f in splitting._frames(iter(rows), ["t"])] == [2, 2, 1]
+    monkeypatch.setattr(splitting, "CHUNK_CHARACTERS", 6)
+    monkeypatch.setattr(splitting, "CHUNK_PIECES", 100)
+    assert [len(f) for f in splitting._frames(iter(rows), ["t"], 0)] == [2, 1, 2]
+    assert list(splitting._frames(iter([]), ["t"])) == []
