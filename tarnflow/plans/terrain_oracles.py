@@ -23,13 +23,13 @@ _SHIFT = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, 1), (1, -1), (-1, 1))
 _PAIR = (1, 0, 3, 2, 5, 4, 7, 6)
 
 
-def _field(dem: str = "dem", diagonals: bool = True, masked: bool = False) -> str:
-    """CTEs ending in fld(cell_id, i, j, z, dir, slope)."""
+def _field(dem: str = "dem", diagonals: bool = True, masked: bool = False, own: str = "", steps: tuple[str, str, str] = ("1.0::DOUBLE", "1.0::DOUBLE", "(1 / sqrt(2.0::DOUBLE))")) -> str:
+    """CTEs ending in fld(cell_id, i, j, z, dir, slope). own: condition for buildings; steps: slopes for a unit of height along i, j and both."""
     n = 8 if diagonals else 4
-    build = "(i * 31 + j * 17) % 101 = 0" if masked else "false"
+    build = "(i * 31 + j * 17) % 101 = 0" if masked else own or "false"
     sink = "(i * 13 + j * 29) % 211 = 0" if masked else "false"
     joins = " ".join(f"LEFT JOIN hz n{k} ON n{k}.i = c.i + {_SHIFT[k][0]} AND n{k}.j = c.j + {_SHIFT[k][1]}" for k in range(n))
-    raw = ", ".join(f"(n{k}.z - c.z) * {'(1 / sqrt(2.0::DOUBLE))' if k > 3 else '1.0::DOUBLE'} AS r{k}" for k in range(n))
+    raw = ", ".join(f"(n{k}.z - c.z) * {steps[k // 2] if k < 4 else steps[2]} AS r{k}" for k in range(n))
     full = [f"coalesce(r{k}, -r{_PAIR[k]}) AS s{k}" if k < 6 else f"CASE WHEN coalesce(r4, -r5) IS NOT NULL THEN coalesce(r{k}, -r{_PAIR[k]}) END AS s{k}" for k in range(n)]
     least = "least(" + ", ".join(f"s{k}" for k in range(n)) + ")"
     pick = "CASE " + " ".join(f"WHEN s{k} = best THEN {k}" for k in range(n)) + " END"
@@ -38,7 +38,7 @@ hz AS (SELECT cell_id, i, j, z AS h, CASE WHEN {build} THEN 'Infinity'::DOUBLE E
 nb AS (SELECT c.cell_id, c.i, c.j, c.h AS z, {raw} FROM hz c {joins}),
 sl AS (SELECT cell_id, i, j, z, {", ".join(full)} FROM nb),
 bs AS (SELECT *, {least} AS best FROM sl),
-fld AS (SELECT cell_id, i, j, z, CASE WHEN {sink} THEN -3 WHEN {build} THEN -2 WHEN best < 0 THEN {pick} ELSE -1 END AS dir,
+fld AS (SELECT cell_id, i, j, z, CASE WHEN {sink} THEN -3 WHEN {build} THEN -2 WHEN z IS NULL THEN NULL WHEN best < 0 THEN {pick} ELSE -1 END AS dir,
         CASE WHEN {sink} OR {build} THEN NULL ELSE best END AS slope FROM bs)"""
 
 
@@ -212,6 +212,10 @@ _TILE = "list_filter(range(0, {n}), lambda k: {c} >= 1 + (dim.n * k) // {n})[-1]
 ORACLES = {
     "dem_cells": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     "grid_roundtrip": _sql("", "SELECT cell_id, i, j, z FROM dem"),
+    # far apart along j, grids have no neighbours in each other
+    "grid_directions": "WITH dem AS (SELECT cell_id AS cell, grid_id, min(grid_id * 10000000000 + cell_id) AS cell_id, min(i) AS i, min(grid_id * 10000000 + j) AS j, min(z) AS z, min(dir) AS given FROM cells GROUP BY 1, 2)"
+    + _field(own="cell_id IN (SELECT cell_id FROM dem WHERE given = -2)", steps=("1 / 1.0::DOUBLE", "1 / 0.5::DOUBLE", "(1 / sqrt(1.25::DOUBLE))"))
+    + " SELECT grid_id, dem.cell AS cell_id, CAST(dir AS TINYINT) AS dir, slope FROM fld JOIN dem USING (cell_id)",
     "grid_scan": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     "tile_stats": _sql("", f"SELECT CAST({_TILE.format(n=4, c='i')} + 4 * {_TILE.format(n=3, c='j')} + 1 AS INT) AS tile, count(*) AS n, min(z) AS low, max(z) AS high FROM dem CROSS JOIN dim GROUP BY 1"),
     "spillfield_d8": _sql(_field(), _DIRS),

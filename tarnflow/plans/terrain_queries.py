@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.runtime import Scratch, shared_dir, table
+from tarnflow.functions.runtime import Scratch, broadcast_if_small, shared_dir, table
 from tarnflow.operators import dynamics as dyn
 from tarnflow.operators import field as fld
 from tarnflow.operators import flat, flow, geometry, spill, traps
@@ -163,6 +163,31 @@ def flat_edges(spark, d):
     return fld.flat_edges(_field(spark, d)[0])
 
 
+def _mosaic(spark, d):
+    """(raster of the windows of all grids of ``cells`` side by side, with a free column between them so that
+    no cell has a neighbour in another grid; (grid_id, cell, i, j, dir) of its cells). Repeated cells count once."""
+    meta = table(spark, d, "grid_meta").select((F.col("len_x") / F.col("nrows")).alias("dx"), (F.col("len_y") / F.col("ncols")).alias("dy")).distinct().collect()
+    if len(meta) != 1:
+        raise ValueError("grids of different cell sizes do not fit into one raster")
+    scratch = Scratch(spark, "mosaic")
+    one = scratch.put(table(spark, d, "cells").groupBy("grid_id", F.col("cell_id").alias("cell")).agg(*[F.min(c).alias(c) for c in ("i", "j", "z", "dir")]))
+    box = one.groupBy("grid_id").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), (F.max("i") - F.min("i") + 1).alias("h"), (F.max("j") - F.min("j") + 2).alias("w"))
+    before = F.sum("w").over(Window.orderBy("grid_id").rowsBetween(Window.unboundedPreceding, -1))  # one row a grid
+    box = scratch.put(box.withColumn("off", F.coalesce(before, F.lit(0))))
+    n, nrows, ncols = box.agg(F.count("*"), F.max("h"), F.sum("w")).first()
+    placed = one.join(broadcast_if_small(box, n), "grid_id").select("grid_id", "cell", (F.col("i") - F.col("i0") + 1).alias("i"), (F.col("j") - F.col("j0") + F.col("off") + 1).alias("j"), "z", "dir")
+    placed = scratch.put(placed)
+    return grid.raster_from_cells(placed, nrows, ncols, meta[0]["dx"] * nrows, meta[0]["dy"] * ncols), placed
+
+
+@query
+def grid_directions(spark, d):
+    """Direction and slope of the cells of all grids, with their voids and buildings."""
+    r, placed = _mosaic(spark, d)
+    f = fld.spill_field(r, buildings=placed.filter(F.col("dir") == fld.BUILDING).select("i", "j"))
+    return placed.select("grid_id", F.col("cell").alias("cell_id"), "i", "j").join(f.select("i", "j", "dir", F.when(~F.isnan("slope"), F.col("slope")).alias("slope")), ["i", "j"]).drop("i", "j")
+
+
 # ------------------------------------------------------------------ catchments, traps
 
 
