@@ -64,12 +64,16 @@ def _mask(df: DataFrame) -> DataFrame:
 
 
 def _steepest(raster: Raster, marked: DataFrame, diagonals: bool) -> DataFrame:
-    dx, dy = raster.steps
-    rates = (1 / dx, 1 / dx, 1 / dy, 1 / dy) + (1 / math.sqrt(dx * dx + dy * dy),) * 4
+    if "dx" in marked.columns:
+        dx, dy = F.col("dx"), F.col("dy")
+        rates = (1 / dx, 1 / dx, 1 / dy, 1 / dy) + (1 / F.sqrt(dx * dx + dy * dy),) * 4
+    else:
+        dx, dy = raster.steps
+        rates = tuple(F.lit(x) for x in (1 / dx, 1 / dx, 1 / dy, 1 / dy) + (1 / math.sqrt(dx * dx + dy * dy),) * 4)
     high = marked.withColumn("_z", F.when(F.col("is_building"), float("inf")).otherwise(F.col("z")))
     near = with_neighbours(high, ["_z"], diagonals)
     n = 8 if diagonals else 4
-    raw = [(F.col(f"n{k}._z") - F.col("_z")) * F.lit(rates[k]) for k in range(n)]
+    raw = [(F.col(f"n{k}._z") - F.col("_z")) * rates[k] for k in range(n)]
     slopes = [F.coalesce(raw[k], -raw[OPPOSITE[k]]) for k in range(n)]
     if diagonals:
         # where both cells of the first diagonal are off the grid, the second one does not count either
@@ -88,11 +92,13 @@ def spill_field(raster: Raster, *, diagonals: bool = True, buildings: DataFrame
     Ties go to the lower code. A neighbour off the grid lies as far below as the opposite one lies
     above. Flat ground is a trap bottom. Buildings are infinitely high; a sink wins over a building.
     Cells with a null height are voids: null direction, absent for their neighbours. Rasters of fewer
-    than two rows or columns are rejected. An empty table of cells gives no rows.
+    than two rows or columns are rejected. An empty table of cells gives no rows. Columns dx and dy of
+    the cells, where there are, hold for the raster's own cell size.
     """
     if raster.nrows < 2 or raster.ncols < 2:
         raise ValueError("a raster needs at least two rows and two columns")
-    cells = raster.cells.select("cell_id", "i", "j", "z")
+    sizes = ["dx", "dy"] if {"dx", "dy"} <= set(raster.cells.columns) else []
+    cells = raster.cells.select("cell_id", "i", "j", "z", *sizes)
     if domain is not None:
         cells = cells.filter(domain.grown(1, raster.nrows, raster.ncols).contains())
     out = _steepest(raster, mark_cells(cells, buildings, sinks), diagonals)

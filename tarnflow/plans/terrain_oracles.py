@@ -23,8 +23,8 @@ _SHIFT = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, 1), (1, -1), (-1, 1))
 _PAIR = (1, 0, 3, 2, 5, 4, 7, 6)
 
 
-def _field(dem: str = "dem", diagonals: bool = True, masked: bool = False, own: str = "", steps: tuple[str, str, str] = ("1.0::DOUBLE", "1.0::DOUBLE", "(1 / sqrt(2.0::DOUBLE))")) -> str:
-    """CTEs ending in fld(cell_id, i, j, z, dir, slope). own: condition for buildings; steps: slopes for a unit of height along i, j and both."""
+def _field(dem: str = "dem", diagonals: bool = True, masked: bool = False, own: str = "", more: str = "", steps: tuple[str, str, str] = ("1.0::DOUBLE", "1.0::DOUBLE", "(1 / sqrt(2.0::DOUBLE))")) -> str:
+    """CTEs ending in fld(cell_id, i, j, z, dir, slope). own: condition for buildings; more: columns that steps use; steps: slopes for a unit of height along i, j and both."""
     n = 8 if diagonals else 4
     build = "(i * 31 + j * 17) % 101 = 0" if masked else own or "false"
     sink = "(i * 13 + j * 29) % 211 = 0" if masked else "false"
@@ -34,7 +34,7 @@ def _field(dem: str = "dem", diagonals: bool = True, masked: bool = False, own:
     least = "least(" + ", ".join(f"s{k}" for k in range(n)) + ")"
     pick = "CASE " + " ".join(f"WHEN s{k} = best THEN {k}" for k in range(n)) + " END"
     return f""",
-hz AS (SELECT cell_id, i, j, z AS h, CASE WHEN {build} THEN 'Infinity'::DOUBLE ELSE z END AS z FROM {dem}),
+hz AS (SELECT cell_id, i, j, z AS h{more}, CASE WHEN {build} THEN 'Infinity'::DOUBLE ELSE z END AS z FROM {dem}),
 nb AS (SELECT c.cell_id, c.i, c.j, c.h AS z, {raw} FROM hz c {joins}),
 sl AS (SELECT cell_id, i, j, z, {", ".join(full)} FROM nb),
 bs AS (SELECT *, {least} AS best FROM sl),
@@ -213,8 +213,9 @@ ORACLES = {
     "dem_cells": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     "grid_roundtrip": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     # far apart along j, grids have no neighbours in each other
-    "grid_directions": "WITH dem AS (SELECT cell_id AS cell, grid_id, min(grid_id * 10000000000 + cell_id) AS cell_id, min(i) AS i, min(grid_id * 10000000 + j) AS j, min(z) AS z, min(dir) AS given FROM cells GROUP BY 1, 2)"
-    + _field(own="cell_id IN (SELECT cell_id FROM dem WHERE given = -2)", steps=("1 / 1.0::DOUBLE", "1 / 0.5::DOUBLE", "(1 / sqrt(1.25::DOUBLE))"))
+    "grid_directions": "WITH dem AS (SELECT cell_id AS cell, grid_id, min(grid_id * 10000000000 + cell_id) AS cell_id, min(i) AS i, min(grid_id * 10000000 + j) AS j, min(z) AS z, min(dir) AS given, min(dx) AS dx, min(dy) AS dy "
+    "FROM cells LEFT JOIN (SELECT grid_id, max(len_x / nrows) AS dx, max(len_y / ncols) AS dy FROM grid_meta GROUP BY 1) USING (grid_id) GROUP BY 1, 2)"
+    + _field(own="cell_id IN (SELECT cell_id FROM dem WHERE given = -2)", more=", dx, dy", steps=("(1 / c.dx)", "(1 / c.dy)", "(1 / sqrt(c.dx * c.dx + c.dy * c.dy))"))
     + " SELECT grid_id, dem.cell AS cell_id, CAST(dir AS TINYINT) AS dir, slope FROM fld JOIN dem USING (cell_id)",
     "grid_scan": _sql("", "SELECT cell_id, i, j, z FROM dem"),
     "tile_stats": _sql("", f"SELECT CAST({_TILE.format(n=4, c='i')} + 4 * {_TILE.format(n=3, c='j')} + 1 AS INT) AS tile, count(*) AS n, min(z) AS low, max(z) AS high FROM dem CROSS JOIN dim GROUP BY 1"),

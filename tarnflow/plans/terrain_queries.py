@@ -165,19 +165,19 @@ def flat_edges(spark, d):
 
 def _mosaic(spark, d):
     """(raster of the windows of all grids of ``cells`` side by side, with a free column between them so that
-    no cell has a neighbour in another grid; (grid_id, cell, i, j, dir) of its cells). Repeated cells count once."""
-    meta = table(spark, d, "grid_meta").select((F.col("len_x") / F.col("nrows")).alias("dx"), (F.col("len_y") / F.col("ncols")).alias("dy")).distinct().collect()
-    if len(meta) != 1:
-        raise ValueError("grids of different cell sizes do not fit into one raster")
+    no cell has a neighbour in another grid; (grid_id, cell, i, j, dir) of its cells). Repeated cells count once;
+    every cell has the size of its grid's cells, of differing ones the greatest."""
+    meta = table(spark, d, "grid_meta").groupBy("grid_id").agg(F.max(F.col("len_x") / F.col("nrows")).alias("dx"), F.max(F.col("len_y") / F.col("ncols")).alias("dy"))
     scratch = Scratch(spark, "mosaic")
     one = scratch.put(table(spark, d, "cells").groupBy("grid_id", F.col("cell_id").alias("cell")).agg(*[F.min(c).alias(c) for c in ("i", "j", "z", "dir")]))
     box = one.groupBy("grid_id").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), (F.max("i") - F.min("i") + 1).alias("h"), (F.max("j") - F.min("j") + 2).alias("w"))
     before = F.sum("w").over(Window.orderBy("grid_id").rowsBetween(Window.unboundedPreceding, -1))  # one row a grid
-    box = scratch.put(box.withColumn("off", F.coalesce(before, F.lit(0))))
+    box = scratch.put(box.withColumn("off", F.coalesce(before, F.lit(0))).join(meta, "grid_id", "left"))
     n, nrows, ncols = box.agg(F.count("*"), F.max("h"), F.sum("w")).first()
-    placed = one.join(broadcast_if_small(box, n), "grid_id").select("grid_id", "cell", (F.col("i") - F.col("i0") + 1).alias("i"), (F.col("j") - F.col("j0") + F.col("off") + 1).alias("j"), "z", "dir")
+    placed = one.join(broadcast_if_small(box, n), "grid_id").select("grid_id", "cell", (F.col("i") - F.col("i0") + 1).alias("i"), (F.col("j") - F.col("j0") + F.col("off") + 1).alias("j"), "z", "dir", "dx", "dy")
     placed = scratch.put(placed)
-    return grid.raster_from_cells(placed, nrows, ncols, meta[0]["dx"] * nrows, meta[0]["dy"] * ncols), placed
+    cells = placed.withColumn("cell_id", F.col("i") + (F.col("j") - 1) * nrows).select("cell_id", "i", "j", "z", "dx", "dy")
+    return grid.Raster(cells, nrows, ncols), placed
 
 
 @query
