@@ -98,16 +98,23 @@ class Scratch:
         writer.bucketBy(buckets, *keys).sortBy(*(sort or keys)).saveAsTable(name)
         out = self.spark.table(name)
         out._scratch_path, out._scratch_table = path, name
+        atexit.register(self._forget, name)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if name := getattr(df, "_scratch_table", None):
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                self._forget(name)
             path = getattr(df, "_scratch_path", None)
             if path:
                 self._remove(path)
 
+    def _forget(self, name: str) -> None:
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session has ended, and its own catalog with it
+            pass
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
