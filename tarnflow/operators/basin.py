@@ -36,6 +36,48 @@ def level_table(z: np.ndarray, top: float, floor: float | None = None) -> tuple[
     return levels[keep], volumes[keep]
 
 
+def first_above(at: np.ndarray, z: np.ndarray, parent: np.ndarray, elevation: np.ndarray, strict: bool) -> np.ndarray:
+    """From trap ``at`` upwards the first one whose elevation is above z (unless ``strict``, or at it);
+    their number for none. Elevations never fall on the way up; strides are halved."""
+    m = len(parent)
+    hop = np.append(np.where(parent >= 0, parent, m), m)
+    top = np.append(elevation, np.inf)
+    dry = (lambda t, h: top[t] <= h) if strict else (lambda t, h: top[t] < h)
+    at = np.array(at, dtype=int)
+    go = np.flatnonzero(dry(at, z))
+    hops = [hop]
+    while (hops[-1] < m).any():
+        hops.append(hops[-1][hops[-1]])
+    t, h = at[go], z[go]
+    for up in reversed(hops):
+        far = up[t]
+        t = np.where((far < m) & dry(far, h), far, t)
+    at[go] = hop[t]
+    return at
+
+
+def tree_volumes(region: np.ndarray, z: np.ndarray, trap: np.ndarray, parent: np.ndarray, elevation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(volume, subvolume) of traps (ascending numbers, children before parents, parents by place) over the
+    cells of their regions. Every cell is counted where it is first under water, and a trap adds to its
+    children's volumes the water over them, so the work does not grow with the depth of the nesting."""
+    m = len(trap)
+    first = first_above(np.searchsorted(trap, region), z, parent, elevation, strict=True)
+    wet = first < m
+    first = first[wet]
+    count = np.bincount(first, minlength=m).tolist()
+    volume = np.bincount(first, weights=elevation[first] - z[wet], minlength=m).tolist()
+    sub = [0.0] * m
+    level = elevation.tolist()
+    for t, p in enumerate(parent.tolist()):
+        if p >= 0:
+            sub[p] += volume[t]
+            volume[p] += volume[t]
+            if count[t] and level[p] > level[t]:
+                volume[p] += count[t] * (level[p] - level[t])
+            count[p] += count[t]
+    return np.array(volume, dtype=float), np.array(sub, dtype=float)
+
+
 class Basin:
     """Arrays of one basin and the computations over it."""
 
@@ -72,31 +114,79 @@ class Basin:
         pos = np.minimum(np.searchsorted(self.cell_id, start), max(n - 1, 0))
         self.start = np.where(edge, -1, pos) if n else np.full(m, -1)
         self.level = traps["level"].to_numpy()
-        self.chain: dict[int, list[int]] = {}
-        for k in np.flatnonzero(self.level == 0):
-            path, c = [], int(k)
-            while c >= 0:
-                path.append(c)
-                c = int(self.parent[c])
-            self.chain[int(self.trap[k])] = path
-        self._cells_of: dict[int, np.ndarray] = {}
-        order = np.argsort(self.region, kind="stable")
-        regs, first = np.unique(self.region[order], return_index=True)
-        for r, a, b in zip(regs, first, [*first[1:], n], strict=True):
-            self._cells_of[int(r)] = order[a:b]
-        self.footprint: list[np.ndarray] = [np.zeros(0, int)] * m
-        parts: list[list[np.ndarray]] = [[] for _ in range(m)]
-        for r, path in self.chain.items():
-            c = self._cells_of.get(r, np.zeros(0, int))
-            for t in path:
-                parts[t].append(c[self.z[c] <= self.elevation[t]])
-        for t in range(m):
-            if parts[t]:
-                self.footprint[t] = np.concatenate(parts[t])
-        self.members: list[list[int]] = [[] for _ in range(m)]
-        for r, path in self.chain.items():
-            for t in path:
-                self.members[t].append(r)
+        self.leaf_of = {int(self.trap[k]): int(k) for k in np.flatnonzero(self.level == 0)}
+        self._order_leaves()
+
+    def _order_leaves(self) -> None:
+        """Regions by the nesting of their traps, so that the cells of any trap lie side by side and
+        nothing has to be kept for each pair of a trap and a region or cell in it."""
+        m = len(self.trap)
+        up = self.parent.tolist()
+        down = sorted(range(m), key=self.level.tolist().__getitem__, reverse=True)
+        count = (self.level == 0).astype(int).tolist()
+        for t in reversed(down):
+            if up[t] >= 0:
+                count[up[t]] += count[t]
+        first, free = [0] * m, 0
+        for t in down:
+            if up[t] < 0:
+                first[t], free = free, free + count[t]
+            at = first[t]
+            for c in self.children[t]:
+                first[c], at = at, at + count[c]
+        self.first_leaf, self.leaves = np.array(first, dtype=int), np.array(count, dtype=int)
+        low = np.flatnonzero(self.level == 0)
+        self.leaf_region = np.zeros(len(low), self.trap.dtype)
+        self.leaf_region[self.first_leaf[low]] = self.trap[low]
+        place = np.full(len(self.region), len(low))
+        if len(low):
+            k = np.minimum(np.searchsorted(self.trap, self.region), m - 1)
+            inner = (self.trap[k] == self.region) & (self.level[k] == 0)
+            place[inner] = self.first_leaf[k[inner]]
+        self._by_leaf = np.argsort(place, kind="stable")
+        self._leaf_start = np.searchsorted(place[self._by_leaf], np.arange(len(low) + 1))
+
+    def members(self, t: int) -> np.ndarray:
+        """The regions of a trap."""
+        return self.leaf_region[self.first_leaf[t] : self.first_leaf[t] + self.leaves[t]]
+
+    def _cells(self, t: int) -> np.ndarray:
+        a = self.first_leaf[t]
+        return self._by_leaf[self._leaf_start[a] : self._leaf_start[a + self.leaves[t]]]
+
+    def footprint(self, t: int) -> np.ndarray:
+        """Cells of a trap's regions at or below its spill level."""
+        c = self._cells(t)
+        return c[self.z[c] <= self.elevation[t]]
+
+    def chain(self, region: int) -> list[int]:
+        """The traps that hold a region, the innermost first."""
+        path, c = [], self.leaf_of.get(int(region), -1)
+        while c >= 0:
+            path.append(c)
+            c = int(self.parent[c])
+        return path
+
+    def _bands(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """(the cells of every trap's footprint that are in none of its children's, by height; the number
+        of those that are). Every cell is in one band at most."""
+        m = len(self.trap)
+        at = np.full(len(self.region), m)
+        if m:
+            k = np.minimum(np.searchsorted(self.trap, self.region), m - 1)
+            inner = (self.trap[k] == self.region) & (self.level[k] == 0)
+            at[inner] = first_above(k[inner], self.z[inner], self.parent, self.elevation, strict=False)
+        order = np.lexsort((self.z, at))
+        cuts = np.searchsorted(at[order], np.arange(m + 1))
+        bands = [order[cuts[t] : cuts[t + 1]] for t in range(m)]
+        held = np.diff(cuts).tolist()
+        below = [0] * m
+        for t in sorted(range(m), key=self.level.tolist().__getitem__):
+            p = int(self.parent[t])
+            if p >= 0:
+                below[p] += below[t] + held[t]
+        self.band_of = at
+        return bands, np.array(below, dtype=int)
 
     def _waves(self) -> list[np.ndarray]:
         """Cells by distance from the ridge: every cell comes after all that flow into it."""
@@ -124,7 +214,7 @@ class Basin:
         end = np.flatnonzero(self.next < 0)
         got = np.maximum(r[end], 0.0)
         inner = self.region[end] > 0
-        accum = {reg: 0.0 for reg in self.chain}
+        accum = {reg: 0.0 for reg in self.leaf_of}
         for reg, x in zip(self.region[end][inner], got[inner], strict=True):
             accum[int(reg)] = accum.get(int(reg), 0.0) + float(x)
         return r, accum, float(got[~inner].sum())
@@ -137,8 +227,7 @@ class Basin:
         runoff, accum, off = self.accumulate(precip - infil)
         on = np.array([int(t) in full for t in self.trap], dtype=bool)
         top = [k for k in range(len(on)) if on[k] and not (self.parent[k] >= 0 and on[self.parent[k]])]
-        is_top = set(top)
-        top_of = {r: next((t for t in path if t in is_top), -1) for r, path in self.chain.items()}
+        top_of = {int(r): t for t in reversed(top) for r in self.members(t)}  # the innermost last
         to = {t: top_of.get(int(self.down[t]), -1) if self.down[t] > 0 else -1 for t in top}
         loop: set[int] = set()
         seen: set[int] = set()
@@ -168,14 +257,15 @@ class Basin:
                     ready.append(d)
         unused = np.maximum(-runoff, 0.0)
         for t in top:
-            unused[self.footprint[t]] = 0.0
+            unused[self.footprint(t)] = 0.0
         return runoff, accum, off, float((infil - unused).sum())
 
     def _overflow(self, t: int, runoff: np.ndarray, accum: dict[int, float]) -> float:
         """Empties the inflow of a full trap over its spill point; returns what leaves the domain."""
-        a = sum(accum.get(r, 0.0) for r in self.members[t]) - float(np.maximum(-runoff[self.footprint[t]], 0.0).sum())
+        held = self.members(t).tolist()
+        a = sum(accum.get(r, 0.0) for r in held) - float(np.maximum(-runoff[self.footprint(t)], 0.0).sum())
         a = max(a, 0.0)
-        for r in self.members[t]:
+        for r in held:
             accum[r] = 0.0
         c = int(self.start[t])
         while c >= 0 and a > 0:
@@ -201,7 +291,21 @@ class Basin:
         self.filled = self.volume == 0.0
         self.amount = np.zeros(m)
         self.time = np.full(m, t0)
-        self.tables = [level_table(self.z[f], self.elevation[t], self.elevation[self.children[t][0]] if self.children[t] else None) for t, f in enumerate(self.footprint)]
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        if not self.wet:  # a constant rate needs no levels
+            return
+        self.bands, below = self._bands()
+        self.upto: list[np.ndarray] = []
+        for t, f in enumerate(self.bands):
+            z, n = self.z[f], int(below[t])
+            if self.children[t]:
+                z, n = np.append(self.elevation[self.children[t][0]], z), n - 1
+            levels = np.append(z, self.elevation[t])
+            sums = np.cumsum(levels) + (n * levels[0] if self.children[t] else 0.0)
+            count = np.arange(1, len(levels) + 1) + (n if self.children[t] else 0)
+            keep = np.append(levels[1:] > levels[:-1], True)
+            self.tables.append((levels[keep], (levels * count - sums)[keep]))
+            self.upto.append(np.searchsorted(self.z[f], levels[keep], side="right"))
 
     def edge(self, t: int) -> int:
         """Where a full trap spills: its parent once all siblings are full, else the catchment below."""
@@ -215,15 +319,15 @@ class Basin:
         self.runoff, accum, _ = self.accumulate(rain - self.infil)
         m = len(self.trap)
         self.inflow = np.zeros(m)
-        for r, path in self.chain.items():
-            self.inflow[path[0]] = accum.get(r, 0.0)
+        for r, k in self.leaf_of.items():
+            self.inflow[k] = accum.get(r, 0.0)
         self.smax = np.zeros(m)
         self.smin = np.zeros(m)
+        self.spare = np.zeros(m)
         if self.wet:
-            for t in range(m):
-                self._capacity(t)
-            for t in range(m):
+            for t in np.argsort(self.level, kind="stable").tolist():
                 self.smin[t] = sum(self.smax[c] for c in self.children[t])
+                self._capacity(t)
         self.sent = np.zeros(m)
         self.to = np.full(m, NONE)
         self.now = None
@@ -239,7 +343,9 @@ class Basin:
         self.new_runoff.clear()
 
     def _capacity(self, t: int) -> None:
-        self.smax[t] = float(np.maximum(-self.runoff[self.footprint[t]], 0.0).sum())
+        """Unused infiltration under a trap: its own band and, in smin, what lies under its children."""
+        self.spare[t] = float(np.maximum(-self.runoff[self.bands[t]], 0.0).sum())
+        self.smax[t] = self.smin[t] + self.spare[t]
 
     def _outflow(self, t: int) -> float:
         if self.to[t] == NONE:
@@ -279,13 +385,16 @@ class Basin:
         if c < 0:
             return
         # the whole path lies in one catchment; with infiltration its traps settle before it changes
-        chain = self.chain.get(int(self.region[c]), []) if self.wet else []
+        chain = self.chain(self.region[c]) if self.wet else []
         for s in chain:
             self._touch(s)
+        bands: set[int] = set()
         while True:
             before = self.runoff[c]
             self.runoff[c] = before + d
             self.new_runoff.add(c)
+            if self.wet:
+                bands.add(int(self.band_of[c]))
             d = max(before + d, 0.0) - max(before, 0.0)
             if d == 0.0 or self.dir[c] == -1:
                 break
@@ -297,12 +406,15 @@ class Basin:
             if self.dir[c] == -3:
                 break
         for t in chain:
-            self._capacity(t)
+            if self.children[t]:
+                self.smin[t] = sum(self.smax[k] for k in self.children[t])
+            if t in bands:
+                self._capacity(t)
+            else:
+                self.smax[t] = self.smin[t] + self.spare[t]
             self.changed.add(t)
             if self.to[t] != NONE:
                 self.work.append(t)
-        for t in chain:
-            self.smin[t] = sum(self.smax[k] for k in self.children[t])
         r = int(self.region[c]) if c >= 0 else 0
         if r <= 0:
             return
@@ -312,23 +424,16 @@ class Basin:
     def _rate(self, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(volumes, net rate from each volume up to the next) of a trap; the rate is constant between
         the levels of its cells. The last entry holds at the full volume."""
-        levels, volumes = self.tables[t]
         if not self.wet:
-            return volumes, np.full(len(volumes), self.inflow[t])
-        f = self.footprint[t]
-        z = self.z[f]
-        if self.children[t]:
-            z = np.maximum(z, self.elevation[self.children[t][0]])
-        cap = np.maximum(-self.runoff[f], 0.0)
-        order = np.argsort(z, kind="stable")
-        below = np.concatenate(([0.0], np.cumsum(cap[order])))[np.searchsorted(z[order], levels, side="right")]
-        return volumes, self.inflow[t] + self.smin[t] - below
+            return np.array([0.0, self.own[t]]), np.full(2, self.inflow[t])
+        # what lies under the children takes smin at every level
+        cap = np.maximum(-self.runoff[self.bands[t]], 0.0)
+        return self.tables[t][1], self.inflow[t] - np.append(0.0, np.cumsum(cap))[self.upto[t]]
 
     def integrate(self, t: int, v: float, start: float, horizon: float) -> tuple[float, float | None]:
         """Water in trap t at ``horizon``, from v at ``start``, and when it became full or empty (None if
         it did not). Exact: volume changes at a constant rate between the levels of the table."""
         full = self.own[t]
-        volumes, rates = self._rate(t)
         if not self.wet or self.smax[t] == self.smin[t]:
             r = float(self.inflow[t])
             if abs(r) <= EPS:
@@ -337,6 +442,7 @@ class Basin:
             if end <= horizon:
                 return (full if r > 0 else 0.0), end
             return v + (horizon - start) * r, None
+        volumes, rates = self._rate(t)
         k = int(np.clip(np.searchsorted(volumes, v + EPS, side="right") - 1, 0, len(volumes) - 1))
         at_top = v >= full - EPS
         r = float(rates[-1] if at_top else rates[k])

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import Scratch
 from tarnflow.operators.basin import Basin
-from tarnflow.operators.components import minimum_labels
 from tarnflow.operators.field import flow_edges, target_cell
 from tarnflow.operators.traps import TrapStructure
 
@@ -49,14 +48,7 @@ def accumulate_flow(field: DataFrame, raster, weights: DataFrame | None = None)
 def basins(ts: TrapStructure) -> DataFrame:
     """(region, basin): independent parts of the spill graph. Two traps belong together if one spills
     into the other or both pour over the same outside catchment; the outside itself joins nothing."""
-    regs = ts.regions.filter("region <> 0").select("region").distinct()
-    # traps share the numbers of regions; they meet their regions through ts.members alone
-    down = ts.traps.filter("downstream_region <> 0").select("trap", "downstream_region")
-    first = ts.members.groupBy("trap").agg(F.min("region").alias("first"))
-    links = ts.members.join(first, "trap").select(F.col("region").alias("u"), F.col("first").alias("v"))
-    links = links.unionByName(down.join(first, "trap").select(F.col("first").alias("u"), F.col("downstream_region").alias("v")))
-    low = minimum_labels(links)
-    return regs.join(low.select(F.col("u").alias("region"), F.col("v").alias("basin")), "region", "left").select("region", F.coalesce("basin", "region").alias("basin"))
+    return ts.sizes.select("region", "basin")
 
 
 def basin_frames(ts: TrapStructure, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,19 +58,18 @@ def basin_frames(ts: TrapStructure, extra: DataFrame | None = None) -> tuple[Dat
     """
     spark = ts.traps.sparkSession
     scratch = Scratch(spark, "basins")
-    sized = ts.regions.filter("region <> 0").groupBy("region").agg(F.count("*").alias("n")).join(basins(ts), "region")
-    size = scratch.put(sized.select("region", F.col("basin").alias("part"), "n"))
+    size = ts.sizes.select("region", F.col("basin").alias("part"), "n")
     total = size.agg(F.sum("n")).first()[0] or 0
     packs = max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_CELLS))
     whole = size.groupBy("part").agg(F.sum("n").alias("cells"))
     name = F.when(F.col("cells") < SMALL_BASIN, F.concat(F.lit("pack "), F.pmod(F.xxhash64("part"), F.lit(packs)))).otherwise(F.concat(F.lit("basin "), F.col("part")))
-    parts = scratch.put(size.join(whole.select("part", name.alias("basin")), "part").select("region", "basin"))
+    named = scratch.put(whole.select("part", name.alias("basin")))
+    parts = scratch.put(size.join(named, "part").select("region", "basin"))
     cells = ts.regions.filter("region <> 0").join(parts, "region")
     cells = cells.withColumn("target", target_cell(ts.raster.nrows, ts.raster.ncols)).select(*_CELLS)
     if extra is not None:
         cells = cells.join(extra, "cell_id", "left")
-    first = ts.members.groupBy("trap").agg(F.min("region").alias("region")).join(parts, "region").select("trap", "basin")
-    traps = ts.traps.join(ts.volumes, "trap").join(first, "trap").select(*_TRAPS)
+    traps = ts.traps.join(ts.volumes, "trap").join(ts.trap_basins.withColumnRenamed("basin", "part"), "trap").join(named, "part").select(*_TRAPS)
     # both sides descend from one table; a new column keeps their keys apart
     return cells, scratch.put(traps)
 

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions.runtime import BROADCAST_ROWS, Scratch, broadcast_if_small, salted_join
-from tarnflow.operators.components import dense_numbers
+from tarnflow.operators.basin import tree_volumes
+from tarnflow.operators.components import dense_numbers, minimum_labels
 from tarnflow.operators.field import spill_field
 from tarnflow.operators.hierarchy import resolve_hierarchy
 from tarnflow.operators.regions import spill_regions
@@ -29,57 +30,99 @@ from tarnflow.sources.grid import Raster
 _PASS = ["z_pass", "phase", "ord", "pos", "cell", "ncell"]
 #: Passes (rows of the region graph) up to which the remaining rounds run in one task.
 KERNEL_ROWS = 1_000_000
+#: Regions, close together by number, whose passes are thinned out in one task where there are more than that.
+FOREST_REGIONS = 30_000
+#: Cells of the largest basin up to which volumes are summed basin by basin, each in one task.
+KERNEL_CELLS = 8_000_000
 _KERNEL_SCHEMA = "old long, trap long, elevation double, downstream_region long, current_region_cell long, downstream_region_cell long, level int"
 
 
 def _rounds(pdf: pd.DataFrame, last: int, level: int) -> pd.DataFrame:
     """The rounds of ``trap_hierarchy`` over one table of passes. Rows with ``old`` are moves of a trap
-    into ``trap``, the others new traps."""
+    into ``trap``, the others new traps.
+
+    Both lowest passes of a pair are fixed once both traps exist, so the pair merges in the round after
+    the later of the two came to be. The rounds thus come from one walk over the passes, the lowest
+    first: it is the lowest one of both its traps, and they merge unless one of them is final (it
+    spills out of the domain or into a final one). The work does not grow with the number of rounds.
+    """
     pdf = pdf.sort_values(["z_pass", "phase", "ord", "pos"], ignore_index=True)
     src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
-    region, z, cell, ncell = (pdf[c].to_numpy() for c in ("dst_region", "z_pass", "cell", "ncell"))
-    # a pass appears once from either side; both rows get the same number
-    _, key = np.unique(pdf[["phase", "ord", "pos"]].to_numpy(), axis=0, return_inverse=True)
-    row = np.arange(len(pdf))
-    moves, fresh = [], []
-    while len(row):
-        tops, first = np.unique(src, return_index=True)
-        to = dst[first]
-        back = np.searchsorted(tops, to)
-        back[back == len(tops)] = 0
-        mutual = (tops[back] == to) & (to > tops) & (dst[first[back]] == tops) & (key[row[first[back]]] == key[row[first]])
-        level += 1
-        if mutual.any():
-            a, b = tops[mutual], to[mutual]
-            new = last + 1 + np.arange(len(a))
-            last += len(a)
-            moves += [pd.DataFrame({"old": o, "trap": new, "level": level}) for o in (a, b)]
-            old = np.concatenate([a, b])
-            order = np.argsort(old)
-            old, into = old[order], np.concatenate([new, new])[order]
-
-            def moved(x: np.ndarray, old=old, into=into) -> np.ndarray:
-                k = np.minimum(np.searchsorted(old, x), len(old) - 1)
-                return np.where(old[k] == x, into[k], x)
-        else:
-            break
-        ended = tops[to <= 0]
-        keep = ~np.isin(src, ended)
-        src, dst, row = moved(src[keep]), moved(dst[keep]), row[keep]
-        keep = src != dst
-        src, dst, row = src[keep], dst[keep], row[keep]
-        _, first = np.unique(np.stack([src, dst]), axis=1, return_index=True)
-        first.sort()
-        src, dst, row = src[first], dst[first], row[first]
-        tops, first = np.unique(src, return_index=True)
-        k = np.searchsorted(tops, new)
-        have = (k < len(tops)) & (tops[np.minimum(k, max(len(tops) - 1, 0))] == new) if len(tops) else np.zeros(len(new), bool)
-        best = row[first[np.where(have, k, 0)]] if len(tops) else np.zeros(len(new), int)
-        pick = lambda x, none, have=have, best=best: np.where(have, x[best], none)
-        fresh.append(pd.DataFrame({"trap": new, "elevation": pick(z, np.inf), "downstream_region": pick(region, 0), "current_region_cell": pick(cell, 0), "downstream_region_cell": pick(ncell, 0), "level": level}))
-    out = pd.concat([*moves, *fresh], ignore_index=True) if moves else pd.DataFrame(columns=["old", "trap", "level"])
+    tops = np.unique(np.concatenate([src, dst[dst > 0]]))
+    n = len(tops)
+    # traps that are no source any more are final; a pass out of the domain leads to -1
+    final = np.ones(n, bool)
+    final[np.searchsorted(tops, src)] = False
+    final = final.tolist() + [False] * n
+    a_of, b_of = np.searchsorted(tops, src).tolist(), np.where(dst > 0, np.searchsorted(tops, dst), -1).tolist()
+    up, born = list(range(2 * n)), [level] * n + [0] * n
+    least = list(range(n)) + [0] * n
+    best = [-1] * (2 * n)
+    pairs: list[tuple[int, int, int]] = []
+    made = n
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for row, (a, b) in enumerate(zip(a_of, b_of, strict=True)):
+        a = top(a)
+        if b >= 0:
+            b = top(b)
+            if a == b:
+                continue
+        # a pass has a row from either side; each tells of its own source alone
+        if best[a] < 0:
+            best[a] = row
+        if final[a] or b < 0 or final[b]:
+            final[a] = True
+        elif best[b] >= 0:
+            up[a] = up[b] = made
+            born[made] = 1 + max(born[a], born[b])
+            least[made] = min(least[a], least[b])
+            pairs.append((a, b, made))
+            made += 1
     names = ["old", "trap", "elevation", "downstream_region", "current_region_cell", "downstream_region_cell", "level"]
-    return out.reindex(columns=names).astype({c: "Int64" for c in names if c != "elevation"})
+    if not pairs:
+        return pd.DataFrame(columns=names).astype({c: "Int64" for c in names if c != "elevation"})
+    # numbers by round, and within a round by the lesser number of the two
+    number = np.concatenate([tops, np.zeros(made - n, tops.dtype)])
+    a, b, new = np.array(pairs).T
+    rounds = np.array(born)[new]
+    order = np.argsort(rounds, kind="stable")
+    cuts = np.flatnonzero(np.diff(rounds[order])) + 1
+    for part in np.split(order, cuts):
+        lesser = np.minimum(number[a[part]], number[b[part]])
+        number[new[part[np.argsort(lesser)]]] = last + 1 + np.arange(len(part))
+        last += len(part)
+    row = np.array(best)[new]
+    have = row >= 0
+    pick = lambda c, none: np.where(have, pdf[c].to_numpy()[np.maximum(row, 0)], none)
+    moves = [pd.DataFrame({"old": number[x], "trap": number[new], "level": rounds}) for x in (a, b)]
+    fresh = pd.DataFrame({"trap": number[new], "elevation": pick("z_pass", np.inf), "downstream_region": pick("dst_region", 0), "current_region_cell": pick("cell", 0), "downstream_region_cell": pick("ncell", 0), "level": rounds})
+    return pd.concat([*moves, fresh], ignore_index=True).reindex(columns=names).astype({c: "Int64" for c in names if c != "elevation"})
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The passes that are left after those whose two sides lower ones of the same table join already: such
+    a pass is never the lowest one out of any set of regions. The outside is one side."""
+    pdf = pdf.sort_values(["z_pass", "phase", "ord", "pos"], ignore_index=True)
+    dst = np.maximum(pdf["dst"].to_numpy(), 0)
+    ids, at = np.unique(np.concatenate([pdf["src"].to_numpy(), dst]), return_inverse=True)
+    up, keep, was, kept = list(range(len(ids))), [], (-1, -1), False
+    for a, b in zip(at[: len(pdf)].tolist(), at[len(pdf) :].tolist(), strict=True):
+        if (b, a) != was:  # else the same pass from the other side
+            x, y = a, b
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            kept, up[x] = x != y, y
+        keep.append(kept)
+        was = (a, b)
+    return pdf[np.array(keep, bool)]
 
 
 def _kernel(last: int, level: int):
@@ -101,6 +144,9 @@ def trap_hierarchy(adjacency: DataFrame, points: DataFrame, *, kernel_rows: int
     parents = []
     graph = scratch.put(adjacency.select("src", "dst", F.col("dst").alias("dst_region"), *_PASS))
     last, level = int(n_regions), 0
+    if graph.count() > kernel_rows:
+        near = F.floor(F.when(F.col("dst") > 0, F.least("src", "dst")).otherwise(F.col("src")) / FOREST_REGIONS)
+        graph = scratch.put(graph.groupBy(near.alias("near")).applyInPandas(_forest, graph.schema))
     while True:
         if graph.count() <= kernel_rows:
             rest = scratch.put(graph.groupBy(F.lit(0).alias("all")).applyInPandas(_kernel(last, level), _KERNEL_SCHEMA))
@@ -198,6 +244,22 @@ def sub_volumes(traps: DataFrame, volumes: DataFrame) -> DataFrame:
     return traps.select("trap").join(sums.withColumnRenamed("parent", "trap"), "trap", "left").withColumn("subvolume", F.coalesce("subvolume", F.lit(0.0)))
 
 
+def _basin_volumes(cells: pd.DataFrame, traps: pd.DataFrame) -> pd.DataFrame:
+    traps = traps.sort_values("trap", ignore_index=True)
+    trap, up = traps["trap"].to_numpy(), traps["parent"].to_numpy(dtype=float)
+    parent = np.where(np.isnan(up), -1, np.searchsorted(trap, np.nan_to_num(up, nan=0.0))).astype(int)
+    volume, sub = tree_volumes(cells["region"].to_numpy(), cells["z"].to_numpy(dtype=float), trap, parent, traps["elevation"].to_numpy(dtype=float))
+    return pd.DataFrame({"trap": trap, "volume": volume, "subvolume": sub})
+
+
+def nested_volumes(regions: DataFrame, traps: DataFrame, sizes: DataFrame, trap_basins: DataFrame) -> DataFrame:
+    """(trap, volume, subvolume) as of ``trap_volumes`` and ``sub_volumes``, without a row for each pair of
+    a cell and a trap over it: deep nests have hundreds of traps over a cell."""
+    cells = regions.filter("region > 0").select("region", "z").join(sizes.select("region", "basin"), "region")
+    below = traps.select("trap", "parent", "elevation").join(trap_basins, "trap")
+    return cells.groupBy("basin").cogroup(below.groupBy("basin")).applyInPandas(_basin_volumes, "trap long, volume double, subvolume double")
+
+
 def supertraps_of(members: DataFrame) -> DataFrame:
     """(region, traps): ascending list of the traps that hold the region (as many as the nesting is deep)."""
     return members.groupBy("region").agg(F.sort_array(F.collect_list("trap")).alias("traps"))
@@ -222,9 +284,30 @@ class TrapStructure:
     def members(self) -> DataFrame:
         return self._keep(trap_regions(self.traps))
 
+    @cached_property
+    def _labels(self) -> DataFrame:
+        """(id, basin) of regions and traps that are not the least of their basin. The lowest traps share the
+        numbers of their regions; the pass of a trap with a parent leads into that parent."""
+        links = self.traps.select(F.col("trap").alias("u"), F.coalesce("parent", "downstream_region").alias("v")).filter("v <> 0")
+        return minimum_labels(links).select(F.col("u").alias("id"), F.col("v").alias("basin"))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """(region, n, basin): cells and basin of every region."""
+        n = self.regions.filter("region <> 0").groupBy("region").agg(F.count("*").alias("n"))
+        return self._keep(n.join(self._labels.withColumnRenamed("id", "region"), "region", "left").withColumn("basin", F.coalesce("basin", "region")))
+
+    @cached_property
+    def trap_basins(self) -> DataFrame:
+        """(trap, basin)"""
+        return self._keep(self.traps.select("trap").join(self._labels.withColumnRenamed("id", "trap"), "trap", "left").withColumn("basin", F.coalesce("basin", "trap")))
+
     @cached_property
     def volumes(self) -> DataFrame:
         """(trap, volume, subvolume)"""
+        largest = self.sizes.groupBy("basin").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= KERNEL_CELLS:
+            return self._keep(nested_volumes(self.regions, self.traps, self.sizes, self.trap_basins))
         v = self._keep(trap_volumes(self.regions, self.traps, self.members))
         return self._keep(v.join(sub_volumes(self.traps, v), "trap"))
 
