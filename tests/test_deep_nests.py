@@ -54,3 +54,25 @@ def test_thinned_passes_give_the_same_nest(spark):
     plain = lambda d: sorted(map(str, d.values.tolist()))
     last, thin = int(rows["src"].max()), traps._forest(rows)
     assert len(thin) < len(rows) and plain(traps._rounds(thin, last, 0)) == plain(traps._rounds(rows, last, 0))
+
+
+def deep_basin(n):
+    """One cell a region; trap n + k holds the regions up to k + 1 and spills towards the next one."""
+    from tarnflow.operators.basin import Basin
+
+    ids = np.arange(1, n + 1)
+    cells = pd.DataFrame({"cell_id": ids, "z": 0.0, "region": ids, "dir": -1, "target": ids})
+    elevation = np.array([1.0, *map(float, range(1, n)), *map(float, range(2, n + 1))])
+    up = [n + 1, *range(n + 1, 2 * n), *range(n + 2, 2 * n), np.nan]
+    volume, sub = traps.tree_volumes(ids, np.zeros(n), np.arange(1, 2 * n), np.array([p - 1 if p == p else -1 for p in up], dtype=int), elevation)
+    frame = pd.DataFrame({"trap": np.arange(1, 2 * n), "parent": up, "elevation": elevation, "level": [0] * n + list(range(1, n)), "volume": volume, "subvolume": sub})
+    return Basin(cells, frame.assign(downstream_region=0, current_region_cell=1, downstream_region_cell=1))
+
+
+def test_flow_over_a_deep_nest():
+    n = 6000
+    began = time.time()
+    b = deep_basin(n)
+    runoff, _, off, used = b.watercourses(np.full(n, 3.0), np.full(n, 1.0), set(range(1, 2 * n)))
+    assert time.time() - began < 3
+    assert (off, used) == (2.0 * n, 1.0 * n) and len(b.footprint(2 * n - 2)) == n and b.chain(n) == [n - 1, 2 * n - 2]
