@@ -240,7 +240,7 @@ class Basin:
             if c in path:
                 steps = list(path)
                 loop |= set(steps[steps.index(c) :])
-            seen |= path.keys()
+            seen.update(path)  # in place; |= with the view of a dict copies all that was seen
         free = [t for t in top if t not in loop]
         waiting = dict.fromkeys(free, 0)
         for t in free:

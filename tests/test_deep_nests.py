@@ -76,3 +76,13 @@ def test_flow_over_a_deep_nest():
     runoff, _, off, used = b.watercourses(np.full(n, 3.0), np.full(n, 1.0), set(range(1, 2 * n)))
     assert time.time() - began < 3
     assert (off, used) == (2.0 * n, 1.0 * n) and len(b.footprint(2 * n - 2)) == n and b.chain(n) == [n - 1, 2 * n - 2]
+
+
+def test_flow_over_very_many_full_traps():
+    """Each full trap spills out by itself; the search for loops must not copy what it has seen."""
+    n = 60_000
+    b = deep_basin(n)
+    began = time.time()
+    _, _, off, used = b.watercourses(np.full(n, 3.0), np.full(n, 1.0), set(range(1, n + 1)))
+    assert time.time() - began < 6
+    assert (off, used) == (2.0 * n, 1.0 * n)
